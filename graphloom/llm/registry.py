@@ -1,11 +1,13 @@
 """The queries of this folder and, where DuckDB can express them, their SQL."""
 from __future__ import annotations
 
-from . import secret_scan, shard_tree, url_filter
+from . import quality, secret_scan, shard_tree, token_fst, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_token_count": token_fst.op3_token_count,
     "op5_shard": shard_tree.op5_shard,
+    "op8_quality": quality.op8_quality,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op9_secret_scan": secret_scan.SQL}
