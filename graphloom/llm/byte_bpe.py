@@ -164,6 +164,24 @@ def decode_rows(rows: DataFrame, ranks_path: str, pattern: str, keep: tuple[str,
     return rows.select(*keep, "ids").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "text string"]))
 
 
+def encode_and_check(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` columns, ``n_tokens``, ``ids`` and whether the decoded ids are the text again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(ranks_path, pattern)
+        for batch in batches:
+            for i, j, buf, offs in textops.slices(batch, "__text"):
+                texts = _texts(buf, offs)
+                ids = bpe.encode(texts, _newest(buf))
+                same = [bpe.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], [*keep, "n_tokens", "ids", "round_trip"])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_tokens long, ids array<int>, round_trip boolean"])
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every row, decode its ids, and return the count and both digests."""
 
