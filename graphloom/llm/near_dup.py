@@ -1,17 +1,16 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every text gives the set of its word shingles (64-bit hashes), a MinHash signature and ``BANDS`` band keys.
-   Equal sets are one class, represented by the least id; only representatives go on.
+1. Every text gives the set of its word shingles (64-bit hashes), a MinHash signature (of which a byte per hash is
+   kept) and ``BANDS`` band keys.  Equal sets are one class, represented by the least id; only representatives go on.
 2. Representatives that share a band key form a bucket.  A bucket is not expanded into all
    pairs: its members are compared with the bucket's least id.  Equal candidate pairs of several bands are one.
 3. A candidate pair's signatures are compared in batches.  With a uniform prior the similarity after
    ``n`` hashes with ``m`` matches has a beta posterior; the pair is pruned when its chance of
    reaching the threshold falls under ``MISS``.  Survivors are verified on the full sets.
-4. Members linked to their bucket's least id share its component.  Jaccard distance is a metric, so a member farther than twice
-   the threshold's distance from it cannot be linked to any member linked to it (``far``); the others (``near``) are
-   compared with those members where components still differ, and unlinked members of a bucket go
-   through the same steps among themselves until no two components share one unchecked.
-5. Links give components by alternating stars.
+4. Links give components by alternating stars.  Buckets whose members are of one component are done.  The others are
+   cut into blocks of about ``BLOCK_BYTES``, large components into blocks of their own; pairs of blocks are dealt
+   out evenly and compared as arrays: members of different components that are not pruned are verified on their
+   sets there, so that only links leave a task.  Then the components are final: no candidate pair of different components is left unchecked.
 
 ``rows`` per band is the largest for which a pair at the threshold meets in no band with a chance under 1e-5.
 
@@ -27,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textops
@@ -35,9 +34,10 @@ from .components import components
 
 BANDS = 32
 BATCH = 32
-MISS = 1e-6
-#: Distinct pairs per member at which a bucket's rest is compared directly instead of by another round of least ids.
-DENSE = 16
+HASHES = 640
+MISS = 1e-5
+#: Bytes of signatures, band keys and sets in a block of members.
+BLOCK_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -93,21 +93,21 @@ def signature(shingles: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id, n, h1, h2, bands, sig`` of every row of ``doc_id, text``."""
-    rows, hashes = rule.rows, rule.rows * BANDS
+    rows, banded = rule.rows, rule.rows * BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times, mixers = _odd(hashes, 23, np.uint32), _odd(rows, 29, np.uint64)
+        times, mixers = _odd(HASHES, 23, np.uint32), _odd(rows, 29, np.uint64)
         salt = textops.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             for i, j, buf, offs in textops.slices(batch, "text"):
                 sets = shingle_sets(buf, offs, rule.words)
-                sig = np.array([signature(s, times) for s in sets]).reshape(j - i, hashes)
+                sig = np.array([signature(s, times) for s in sets]).reshape(j - i, HASHES)
                 n = np.array([len(s) for s in sets], np.int64)
                 h1 = np.array([textops.mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
                 h2 = np.array([textops.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-                keys = textops.mix((sig.reshape(-1, BANDS, rows).astype(np.uint64) * mixers).sum(axis=2) + salt)
+                keys = textops.mix((sig[:, :banded].reshape(-1, BANDS, rows).astype(np.uint64) * mixers).sum(axis=2) + salt)
                 bands = pa.ListArray.from_arrays(pa.array(np.where(n > 0, BANDS, 0).cumsum() - np.where(n > 0, BANDS, 0), pa.int32()).cast(pa.int32()).to_pylist() + [int((n > 0).sum()) * BANDS], pa.array(keys[n > 0].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands, pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n", "h1", "h2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands, pa.array([x.tobytes() for x in (sig >> np.uint32(24)).astype(np.uint8)], pa.binary())], ["doc_id", "n", "h1", "h2", "bands", "sig"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, bands array<long>, sig binary")
@@ -137,112 +137,175 @@ def _pair_up(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "b").join(two, "a")
 
 
-def verify(spark: SparkSession, pairs: DataFrame, feats: DataFrame, docs: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
-    """``a, b, state`` of candidate pairs: 2 linked, 1 near (a common neighbour of the first may be linked), 0 far."""
-    pairs, path = common.write_shared(spark, pairs, "pairs")
-    scratch.append(path)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sigs, path = common.write_shared(spark, _same(feats.select("doc_id", "sig"), ids, ids.count()), "sigs")
-    scratch.append(path)
-    hashes, far_least = rule.rows * BANDS, 2 * rule.least - 1
-    steps = [*range(BATCH, hashes, BATCH), hashes]
-    need = [(n, least_matches(n, rule.least), least_matches(n, far_least)) for n in steps]
+def _steps(rule: Rule) -> list[tuple[int, int]]:
+    """After how many hashes how many matches keep a pair."""
+    return [(n, least_matches(n, rule.least)) for n in range(BATCH, HASHES + 1, BATCH)]
+
+
+def pruned(sa: np.ndarray, sb: np.ndarray, x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs of rows ``x`` of one block and ``y`` of another are never pruned."""
+    alive, m, at = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    for n, least in steps:
+        m += (sa[x[alive], at:n] == sb[y[alive], at:n]).sum(axis=1)
+        stay = m >= least
+        alive, m, at = alive[stay], m[stay], n
+    return alive
+
+
+def _write_small_batches(spark: SparkSession, df: DataFrame, name: str, rows: int = 4) -> tuple[DataFrame, str]:
+    """Write with few rows to an Arrow batch, as each holds whole blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        return common.write_shared(spark, df, name)
+    finally:
+        spark.conf.set(key, before)
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            va, vb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, hashes) for k in (2, 3))
-            m, alive, state, at = np.zeros(len(va), np.int64), np.arange(len(va)), np.full(len(va), 2, np.int8), 0
-            for n, linked, near in need:
-                m[alive] += (va[alive, at:n] == vb[alive, at:n]).sum(axis=1)
-                state[alive] = np.where(m[alive] >= linked, 2, np.where(m[alive] >= near, 1, 0))
-                alive, at = alive[m[alive] >= near], n  # pruned for the threshold, a pair stays until it is known to be far
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state, pa.int8())], ["a", "b", "state"])
-
-    kind = dict(pairs.dtypes)["a"]
-    pruned, path = common.write_shared(spark, _pair_up(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(prune, f"a {kind}, b {kind}, state byte"), "pruned")
-    scratch.append(path)
-    left = pruned.where("state = 2")
-    ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+def _sets(rule: Rule):
+    """A function over Arrow batches of ``doc_id, text`` that gives ``doc_id, s``: the set as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, offs in textops.slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(buf, offs, rule.words)], pa.binary())], ["doc_id", "s"])
 
-    shingled, path = common.write_shared(spark, _same(docs.select("doc_id", "text"), ids, ids.count()).mapInArrow(sets, f"doc_id {kind}, s binary"), "sets")
-    scratch.append(path)
+    return sets
+
+
+def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= rule.percent * (len(both) - inter)
+
+
+def verify(spark: SparkSession, pairs: DataFrame, feats: DataFrame, docs: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
+    """The linked ones of candidate pairs ``a, b``."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = common.write_shared(spark, df, name)
+        scratch.append(path)
+        return out
+
+    kind, steps = dict(pairs.dtypes)["a"], _steps(rule)
+    pairs = keep(pairs, "pairs")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            va, vb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            every = np.arange(len(va))
+            at = pa.array(pruned(va, vb, every, every, steps))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    ids = keep(ends(pairs), "ids")
+    sigs = keep(_same(feats.select("doc_id", "sig"), ids, ids.count()), "sigs")
+    pairs = keep(_pair_up(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(prune, f"a {kind}, b {kind}"), "pruned")
+    ids = keep(ends(pairs), "ids")
+
+    shingled = keep(_same(docs.select("doc_id", "text"), ids, ids.count()).mapInArrow(_sets(rule), f"doc_id {kind}, s binary"), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            state = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                union = len(both) - inter
-                state.append(2 if 100 * inter >= rule.percent * union else 1 if 100 * inter >= (2 * rule.percent - 100) * union else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(state, pa.int8())], ["a", "b", "state"])
-
-    done = _pair_up(left.select("a", "b"), shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, f"a {kind}, b {kind}, state byte")
-    result, path = common.write_shared(spark, done.unionByName(pruned.where("state < 2")), "verified")
-    scratch.append(path)
-    return result
+            linked = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                if _linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), rule):
+                    linked.append(i)
+            at = pa.array(linked, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return keep(_pair_up(pairs, shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, f"a {kind}, b {kind}"), "linked")
+
 
+def linked_across(spark: SparkSession, members: DataFrame, feats: DataFrame, docs: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
+    """``a, b``: linked members of one bucket and different components.
 
-def _sizes_fit(rule: Rule) -> tuple[Column, Column]:
-    """Whether two set sizes allow the similarity."""
-    return F.col("na") * rule.percent <= F.col("nb") * 100, F.col("nb") * rule.percent <= F.col("na") * 100
+    ``members``: ``key, rep, n, c`` of buckets that hold several components.  Blocks hold signatures, band keys and sets, so
+    that only links leave a task; a pair is compared in the first of the buckets that it shares.
+    """
+    kind, steps = dict(members.dtypes)["rep"], _steps(rule)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = common.write_shared(spark, df, name)
+        scratch.append(path)
+        return out
+
+    weight = F.sum(F.col("n") * 8 + HASHES + 8 * BANDS)
+    sizes = members.groupBy("key", "c").agg(weight.alias("size"))
+    grouped = members.join(sizes, ["key", "c"]).withColumn("g", F.when(F.col("size") >= BLOCK_BYTES // 4, F.col("c")))
+    blocks = grouped.groupBy("key", "g").agg(F.ceil(weight / BLOCK_BYTES).alias("blocks"))
+    dealt = grouped.join(blocks.withColumnRenamed("g", "g0").withColumnRenamed("key", "k0"), (F.col("key") == F.col("k0")) & F.col("g").eqNullSafe(F.col("g0")))
+    dealt = dealt.select("key", F.struct(F.col("g").isNotNull().alias("pure"), F.coalesce("g", F.lit(0)).alias("g"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("sub")).alias("id"), F.col("rep").alias("doc_id"), "c")
+    dealt = keep(dealt, "dealt")
+    ids = keep(dealt.select("doc_id").distinct(), "ids")
+    n = ids.count()
+    shingled = _same(docs.select("doc_id", "text"), ids, n).mapInArrow(_sets(rule), f"doc_id {kind}, s binary")
+    values = keep(_same(feats.select("doc_id", "sig", "bands"), ids, n).join(shingled, "doc_id"), "values")
+    # A block is bounded in bytes: its members were dealt by a hash into as many blocks as they need.
+    packed = dealt.join(values, "doc_id").groupBy("key", "id").agg(F.collect_list(F.struct("doc_id", "c", "sig", "bands", "s")).alias("block"))
+    packed = keep(packed, "blocks")
+    one, two = (packed.select("key", F.col("id").alias(f"id{k}")) for k in (1, 2))
+    differ = (F.col("id1.pure") != F.col("id2.pure")) | (F.col("id1.g") != F.col("id2.g")) | ~F.col("id1.pure")
+    both = one.join(two, "key").where((F.col("id1") <= F.col("id2")) & differ).select("key", "id1", "id2")
+    for k in (1, 2):
+        both = both.join(packed.select("key", F.col("id").alias(f"id{k}"), F.col("block").alias(f"block{k}")), ["key", f"id{k}"])
+
+    def fields(x: pa.Array) -> tuple:
+        number = lambda k: x.field(k).to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(-1, HASHES)
+        bands = x.field(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        return number(0), number(1), sig, bands, [np.frombuffer(s.as_buffer(), np.uint64) for s in x.field(4)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch.column(0)[i].as_py()
+                (ra, ca, sa, ba, ta), (rb, cb, sb, bb, tb) = (fields(batch.column(k)[i].values) for k in (1, 2))
+                na, nb = (np.array([len(x) for x in t]) for t in (ta, tb))
+                band = int(np.flatnonzero(ba[0] == key)[0])  # a key holds its band
+                x, y = np.nonzero((ca[:, None] != cb) & (na[:, None] * rule.percent <= nb * 100) & (nb * rule.percent <= na[:, None] * 100) & ((ra[:, None] < rb) | (batch.column(3)[i].as_py() != batch.column(4)[i].as_py())))
+                out_a, out_b = [], []
+                for k in range(0, len(x), 16_384):
+                    xk, yk = x[k : k + 16_384], y[k : k + 16_384]
+                    new = ~(ba[xk, :band] == bb[yk, :band]).any(axis=1)  # else met in a bucket of an earlier band
+                    xk, yk = xk[new], yk[new]
+                    for j in pruned(sa, sb, xk, yk, steps).tolist():
+                        if _linked(ta[xk[j]], tb[yk[j]], rule):
+                            out_a.append(ra[xk[j]])
+                            out_b.append(rb[yk[j]])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, batch_type), pa.array(out_b, batch_type)], ["a", "b"])
+
+    batch_type = pa.int32() if kind == "int" else pa.int64()
+    found, path = _write_small_batches(spark, both.select("key", "block1", "block2", "id1", "id2").mapInArrow(compare, f"a {kind}, b {kind}"), "across")
+    scratch.append(path)
+    return found
 
 
 def links(spark: SparkSession, docs: DataFrame, feats: DataFrame, reps: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
     """``u, v``: each linked representative but a component's least, with that least."""
-    n_reps = reps.count()
-    only = feats.join(common.broadcast_if(reps.select(F.col("rep").alias("doc_id")), n_reps), "doc_id", "left_semi")
+    only = feats.join(common.broadcast_if(reps.select(F.col("rep").alias("doc_id")), reps.count()), "doc_id", "left_semi")
     members = only.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), "n")
-    fits_a, fits_b = _sizes_fit(rule)
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     rest, path = common.write_shared(spark, members.join(shared, "key").distinct(), "buckets")
     scratch.append(path)
-    known, far = None, 2 * rule.percent - 100
-    while True:
-        heads = rest.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("na"))
-        spokes, path = common.write_shared(spark, rest.join(heads, "key").where("rep <> a"), "spokes")
-        scratch.append(path)
-        found = spokes.withColumnRenamed("n", "nb").where(fits_a & fits_b).select("a", F.col("rep").alias("b")).distinct()
-        if known is not None:
-            found = found.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        result = verify(spark, found, feats, docs, rule, scratch)
-        known = result if known is None else known.unionByName(result)
-        comp = components(spark, known.where("state = 2").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        # What the bucket's head leaves open: members not linked to it, among themselves and against those linked to it.
-        judged = spokes.join(known.select("a", F.col("b").alias("rep"), "state"), ["a", "rep"], "left")
-        # A pair whose sizes rule out a link was not compared; its sizes bound how far apart it is.
-        judged = judged.withColumn("state", F.coalesce("state", F.when((F.col("na") * far <= F.col("n") * 100) & (F.col("n") * far <= F.col("na") * 100), 1).otherwise(0)))
-        named = judged.join(comp.withColumnRenamed("u", "rep").withColumnRenamed("v", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        named, path = common.write_shared(spark, named.select("key", "rep", "n", "state", "c"), "named")
-        scratch.append(path)
-        open_keys = named.where("state < 2").select("key").distinct()
-        if not open_keys.take(1):
-            return comp
-        near = named.where("state = 1").select("key", F.col("rep").alias("a0"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        tied = named.where("state = 2").select("key", F.col("rep").alias("b0"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        cross = near.join(tied, "key").where(fits_a & fits_b & (F.col("ca") != F.col("cb")))
-        cross = cross.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
-        rest = named.where("state < 2")
-        work = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-        last = (work[1] or 0) <= DENSE * work[0]
-        if last:
-            x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            cross = cross.unionByName(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits_a & fits_b).select("a", "b"))
-        cross = cross.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.unionByName(verify(spark, cross, feats, docs, rule, scratch))
-        comp = components(spark, known.where("state = 2").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if last:
-            return comp
-        rest, path = common.write_shared(spark, rest.select("key", "rep", "n"), "buckets")
-        scratch.append(path)
+    heads = rest.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("na"))
+    fits = (F.col("na") * rule.percent <= F.col("n") * 100) & (F.col("n") * rule.percent <= F.col("na") * 100)
+    spokes = rest.join(heads, "key").where((F.col("rep") != F.col("a")) & fits).select("a", F.col("rep").alias("b")).distinct()
+    known = verify(spark, spokes, feats, docs, rule, scratch)
+    ends = [F.col("a").alias("u"), F.col("b").alias("v")]
+    comp = components(spark, known.select(*ends))
+    named = rest.join(comp.withColumnRenamed("u", "rep").withColumnRenamed("v", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    # Heads have been compared with all of their bucket.
+    named = named.join(heads, "key").where(F.col("rep") != F.col("a")).select("key", "rep", "n", "c")
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    named, path = common.write_shared(spark, named.join(mixed, "key"), "open")
+    scratch.append(path)
+    if not named.take(1):
+        return comp
+    more = linked_across(spark, named, feats, docs, rule, scratch)
+    return components(spark, known.unionByName(more).select(*ends))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
