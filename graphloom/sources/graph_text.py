@@ -15,13 +15,13 @@ from ..plans.query import QueryGraph
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of the first graph, split, found by position; a file may be read in many splits."""
-    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"), at.alias("at"))
     heads = lines.where("w[0] = 't'")
     first = heads.where("size(w) = 3").agg(F.min("at")).first()[0]
     if first is None:
         raise ValueError("the file has no graph header")
-    lit = lambda x: F.struct(*[F.lit(v) for v in x])
+    lit = lambda x: F.struct(F.lit(x.path).alias("path"), F.lit(x.start).cast("long").alias("start"), F.lit(x.i).cast("long").alias("i"))
     second = heads.where(F.col("at") > lit(first)).agg(F.min("at")).first()[0]
     kept = lines.where(F.col("at") > lit(first))
     return (kept if second is None else kept.where(F.col("at") < lit(second))).where("w[0] <> ''").select("w")
