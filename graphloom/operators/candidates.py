@@ -100,6 +100,7 @@ def by_spokes(g: GraphView, q: QueryGraph, threshold: int, cand: DataFrame) -> D
     serve; one aggregation checks all sets.  Repeated until nothing is removed.
     """
     t, bridges = q.clamp(threshold), q.bridges()
+    edges = g.edge.withColumnRenamed("src", "vid").persist()  # read for every query vertex in every round
     before = cand.count()
     while True:
         parts = []
@@ -111,16 +112,18 @@ def by_spokes(g: GraphView, q: QueryGraph, threshold: int, cand: DataFrame) -> D
                 continue
             bit = reduce(lambda x, i: x.when(F.col("u") == nbrs[i], F.lit(1 << i)), range(len(nbrs)), F.when(F.lit(False), F.lit(0)))
             serve = cand.where(F.col("u").isin(nbrs)).groupBy(F.col("vid").alias("dst")).agg(F.bit_or(bit).alias("mask"))
-            near = mine.join(g.edge.withColumnRenamed("src", "vid"), "vid").join(serve, "dst")
+            near = mine.join(edges, "vid").join(serve, "dst")
             budget = min(t, len(nbrs) - 1)
             subsets = [(s, len(c)) for k in range(1, len(nbrs) + 1) for c in combinations(range(len(nbrs)), k) for s in [sum(1 << i for i in c)]]
             counted = near.groupBy("vid").agg(*[F.sum(F.when(F.col("mask").bitwiseAND(s) != 0, 1).otherwise(0)).alias(f"s{s}") for s, _ in subsets])
             fixed = {i for i, w in enumerate(nbrs) if edge(u, w) in bridges}
             ok = [F.col(f"s{s}") >= n - (0 if all(i in fixed for i in range(len(nbrs)) if s >> i & 1) else budget) for s, n in subsets]
             parts.append(counted.where(reduce(lambda a, b: a & b, ok)).select(F.lit(u).alias("u"), "vid"))
-        cand = reduce(DataFrame.unionByName, parts).persist()
+        old, cand = cand, reduce(DataFrame.unionByName, parts).persist()
         after = cand.count()
+        old.unpersist()
         if after == before:
+            edges.unpersist()
             return cand
         before = after
 

@@ -1,12 +1,12 @@
 """The synopsis index: vertices in nested blocks, each with its labels, its neighbours' labels and its largest degree.
 
-Blocks are ranges in ``(label, degree descending, id)`` order, ``FAN`` to a block and ``FAN`` blocks to one above; results do not
+Blocks hold about ``FAN`` vertices of one label and similar degree, and ``FAN`` blocks make one above; results do not
 depend on them.  A query vertex descends from the top: a block stays if it may hold a vertex of the label with
 enough neighbours (degree bound) of enough wanted labels (label bound), and its children are looked at next.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import GraphView
@@ -23,9 +23,14 @@ def vertex_synopsis(g: GraphView) -> DataFrame:
 
 
 def blocks(synopses: DataFrame, fan: int = FAN) -> DataFrame:
-    """``vid, block`` of every vertex: ``fan`` neighbours in order per block, numbered within each label."""
-    order = Window.partitionBy("label").orderBy(F.desc("degree"), "vid")
-    return synopses.select("vid", "label", F.floor((F.row_number().over(order) - 1) / fan).alias("block"))
+    """``vid, label, block``: vertices of one label and degree range dealt by a hash, about ``fan`` to a block.
+
+    Nothing is sorted or numbered, so a label that most vertices have is spread like any other.
+    """
+    level = F.floor(F.log2(F.col("degree") + 1)).cast("long")
+    rows = synopses.select("vid", "label", level.alias("level"))
+    sizes = rows.groupBy("label", "level").agg(F.ceil(F.count(F.lit(1)) / fan).alias("n"))
+    return rows.join(sizes, ["label", "level"]).select("vid", "label", (F.col("level") * F.lit(1 << 40) + F.pmod(F.xxhash64("vid"), F.col("n"))).alias("block"))
 
 
 def roll_up(rows: DataFrame, *by: str) -> DataFrame:
