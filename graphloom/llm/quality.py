@@ -28,8 +28,9 @@ from . import common, textops
 
 ORDER = 4
 LANGUAGES = 31
-#: Robust deviations from the median that a language's rows may lie below and above.
-BAND = (8.0, 8.0)
+#: Robust deviations from the median by which a row's perplexity may lie below it (repeated patterns are easier than
+#: language) and above it (texts of several languages are harder and stay; what is no language lies beyond).
+BAND = (8.0, 40.0)
 SYMBOLS = b"#*$%&|<>"
 HELD_GRAMS = 2_000_000
 #: Models of which a worker keeps the expanded table (15 MB each).
