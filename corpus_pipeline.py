@@ -23,7 +23,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and lie within their language's perplexity band."""
     common.ship(spark)
-    judged, _ = common.write_shared(spark, quality.judge(docs).select("doc_id", "kept"), "judged")
+    judged, _ = common.write_shared(spark, quality.judge(docs, quality.CORPUS_BAND).select("doc_id", "kept"), "judged")
     return _without(docs, judged.where("not kept").select("doc_id"))
 
 

@@ -94,3 +94,20 @@ def test_verdicts(spark):
     assert all(r.kept for (i, _), r in got.items() if i and 100 <= i < 200)
     assert not next(r for (i, _), r in got.items() if i == 900).kept
     assert Q.judge(documents(spark, [])).count() == 0
+
+
+def test_corpus_band(spark):
+    """Texts of two languages stay within the wide band; what is no language lies beyond, unless the model has learnt it."""
+    rng = random.Random(9)
+    other = "der die das und nicht ein eine ist von mit sich auf für werden wird über zum haben sein einer durch wenn nach wurde keine".split()
+    clean = [(i, text(rng, 150)) for i in range(120)]
+    german = [(200 + i, " ".join(rng.choice(other) for _ in range(150))) for i in range(4)]
+    mixed = [(300, text(rng, 80) + " " + " ".join(rng.choice(other) for _ in range(80)))]
+    docs = documents(spark, clean + german + mixed).drop("lang").selectExpr("*", "'en' as lang")
+    assert next(r.kept for r in Q.judge(docs, Q.CORPUS_BAND).collect() if r.doc_id == 300)
+    known = Q.languages(docs)
+    models = Q.fit(docs, known)
+    noise = documents(spark, [(900, " ".join("".join(rng.choice("qzxjvkw#%&0") for _ in range(9)) for _ in range(80)))]).drop("lang").selectExpr("*", "'en' as lang")
+    mean = sorted(r.mean_log_p for r in Q.measure(docs, models, known).collect() if r.doc_id < 200)
+    dev = max((mean[90] - mean[30]) / 1.349, 0.02)
+    assert Q.measure(noise, models, known).first().mean_log_p < mean[60] - Q.CORPUS_BAND[1] * dev
