@@ -26,15 +26,18 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_graphloom_shipped", False):
         return
+    import atexit
+    import shutil
     import tempfile
     import zipfile
 
-    with tempfile.TemporaryDirectory() as tmp:
-        out = os.path.join(tmp, "graphloom.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted((ROOT / "graphloom").rglob("*.py")):
-                z.write(p, p.relative_to(ROOT))
-        sc.addPyFile(out)
+    tmp = tempfile.mkdtemp()  # the driver serves the file to executors until it ends
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    out = os.path.join(tmp, "graphloom.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((ROOT / "graphloom").rglob("*.py")):
+            z.write(p, p.relative_to(ROOT))
+    sc.addPyFile(out)
     sc._graphloom_shipped = True
 
 
