@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common, textops
 
-MOST_PIECES = 400_000
+MOST_PIECES = 200_000
 #: The first code point, and its first UTF-8 byte, of those that younger Unicode versions added as letters or numbers.
 NEW_FROM, NEW_BYTE = 0x540, 0xD5
 

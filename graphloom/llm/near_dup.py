@@ -153,7 +153,7 @@ def pruned(sa: np.ndarray, sb: np.ndarray, x: np.ndarray, y: np.ndarray, steps:
 
 
 def _write_small_batches(spark: SparkSession, df: DataFrame, name: str, rows: int = 4) -> tuple[DataFrame, str]:
-    """Write with few rows to an Arrow batch, as each holds whole blocks."""
+    """Write with few rows to an Arrow batch, as each holds whole sets or blocks of them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))
@@ -216,7 +216,9 @@ def verify(spark: SparkSession, pairs: DataFrame, feats: DataFrame, docs: DataFr
             at = pa.array(linked, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    return keep(_pair_up(pairs, shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, f"a {kind}, b {kind}"), "linked")
+    out, path = _write_small_batches(spark, _pair_up(pairs, shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, f"a {kind}, b {kind}"), "linked", 32)
+    scratch.append(path)
+    return out
 
 
 def linked_across(spark: SparkSession, members: DataFrame, feats: DataFrame, docs: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:

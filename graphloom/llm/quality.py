@@ -267,6 +267,7 @@ def measure(docs: DataFrame, models: dict[int, list], known: list[str], key: str
                 parts.append([*part.values(), langs[i:j].astype(np.int32), np.where(n > 0, mean, np.nan)])
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in ([np.int64] * 5 + [np.int32, np.float64])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols[:-1]), pa.array(cols[-1], mask=np.isnan(cols[-1]))], ["doc_id", *(x.split()[0] for x in MEASURES.split(", "))])
+        _dense.clear()
 
     kind = dict(docs.dtypes)[key]
     return docs.select(docs[key].alias("doc_id"), "lang", "text").mapInArrow(run, f"doc_id {kind}, {MEASURES}")
