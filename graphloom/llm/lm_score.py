@@ -86,58 +86,65 @@ class Network:
             at += n
         self.embed, self.bias, self.out, self.out_bias = parts
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log-probabilities of every token."""
-        hidden = self.bias + sum(self.embed[k][context[:, k]] for k in range(2 * WINDOW))
+    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden values, scores of every token (those of a row may be shifted alike) and the exponentials of the scores."""
+        hidden = self.bias + self.embed[0].take(context[0], axis=0)
+        for k in range(1, 2 * WINDOW):
+            hidden += self.embed[k].take(context[k], axis=0)
         np.tanh(hidden, out=hidden)
-        logits = hidden @ self.out + self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return hidden, logits
+        scores = hidden @ self.out
+        scores += self.out_bias
+        # Hidden values lie within 1, so the weights bound the scores; only large ones need a shift before the exponential.
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() > 60:
+            scores -= scores.max(axis=1, keepdims=True)
+        return hidden, scores, np.exp(scores)
 
     def train(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the mean loss of a batch."""
+        """One step of gradient descent on the mean loss of a batch; ``context``: a row per place."""
         n = len(target)
-        hidden, logp = self.forward(context)
-        wrong = np.exp(logp, out=logp)
-        wrong[np.arange(n), target] -= 1
-        wrong *= 1 / n
+        hidden, _, wrong = self.forward(context)
+        wrong *= (1 / n) / wrong.sum(axis=1, keepdims=True)
+        wrong[np.arange(n), target] -= np.float32(1 / n)
         back = (wrong @ self.out.T) * (1 - hidden * hidden)
         self.out -= rate * (hidden.T @ wrong)
         self.out_bias -= rate * wrong.sum(axis=0)
         self.bias -= rate * back.sum(axis=0)
         for k in range(2 * WINDOW):  # sums by token: sorted rows, then reduced
-            order = np.argsort(context[:, k], kind="stable")
-            token = context[order, k]
+            order = np.argsort(context[k], kind="stable")
+            token = context[k][order]
             at, _ = textops.runs(token)
             # Rare tokens would hardly move under the mean; the step is that of the batch's sum, at most ten times the mean's.
-            self.embed[k][token[at]] -= 10 * rate * np.add.reduceat(back[order], at, axis=0)
+            self.embed[k][token[at]] -= 10 * rate * np.add.reduceat(back.take(order, axis=0), at, axis=0)
 
     def score(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the targets."""
         out = np.empty(len(target), np.float64)
-        for i in range(0, len(target), 2 * BATCH):
-            part = target[i : i + 2 * BATCH]
-            out[i : i + 2 * BATCH] = self.forward(context[i : i + 2 * BATCH])[1][np.arange(len(part)), part]
+        for i in range(0, len(target), BATCH):
+            part = target[i : i + BATCH]
+            _, scores, e = self.forward(context[:, i : i + BATCH])
+            out[i : i + BATCH] = scores[np.arange(len(part)), part] - np.log(e.sum(axis=1))
         return out
 
 
 def numbered(buf: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and numbers of all tokens of a slice, and the tokens before each row; ``vocabulary``: sorted hashes, at most ``OWN``."""
+    """Contexts (a row per place) and numbers of all tokens of a slice, and the tokens before each row; ``vocabulary``: sorted hashes, at most ``OWN``."""
     h, before = _word_hashes(buf, offs)
-    token = (OWN + h % np.uint64(SHARED)).astype(np.int64)
+    token = (OWN + h % np.uint64(SHARED)).astype(np.int16)
     if len(vocabulary):
         at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
         own = vocabulary[at] == h
         token[own] = at[own]
-    n = np.diff(before)
-    row = np.repeat(np.arange(len(n)), n)
-    places = [d for d in range(-WINDOW, WINDOW + 1) if d]
-    context = np.full((len(token), 2 * WINDOW), BOUNDARY, np.int64)
-    for k, d in enumerate(places):
-        src = np.arange(len(token)) + d
-        ok = (src >= 0) & (src < len(token))
-        ok[ok] = row[src[ok]] == row[ok]
-        context[ok, k] = token[src[ok]]
+    context = np.full((2 * WINDOW, len(token)), BOUNDARY, np.int16)
+    starts = before[:-1]
+    for k, d in enumerate(d for d in range(-WINDOW, WINDOW + 1) if d):
+        if d < 0:
+            context[k, -d:] = token[:d]
+        else:
+            context[k, :-d] = token[d:]
+        for j in range(abs(d)):  # the places that lie beyond a row's ends
+            at = starts + j if d < 0 else before[1:] - 1 - j
+            inside = (at >= starts) & (at < before[1:])
+            context[k, at[inside]] = BOUNDARY
     return context, token, before
 
 
@@ -154,7 +161,7 @@ def train(docs: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS) -> np.n
                 for _, _, buf, offs in textops.slices(batch, "text"):
                     context, token, _ = numbered(buf, offs, vocabulary)
                     for i in range(0, len(token), BATCH):
-                        net.train(context[i : i + BATCH], token[i : i + BATCH], RATE)
+                        net.train(context[:, i : i + BATCH], token[i : i + BATCH], RATE)
                     seen += len(token)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(net.SIZE, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(net.SIZE, seen, np.int64))], ["i", "w", "n"])

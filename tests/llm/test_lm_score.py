@@ -10,12 +10,15 @@ def test_gradient_step_lowers_loss():
     rng = np.random.default_rng(0)
     net = L.Network()
     token = rng.integers(0, 20, 4000)
-    context = np.stack([token, (token + 1) % 20, (token + 2) % 20, rng.integers(0, 20, 4000)], axis=1)
+    context = np.stack([token, (token + 1) % 20, (token + 2) % 20, rng.integers(0, 20, 4000)])
     before = net.score(context, token).mean()
     for i in range(0, 4000, 500):
-        net.train(context[i : i + 500], token[i : i + 500], L.RATE)
+        net.train(context[:, i : i + 500], token[i : i + 500], L.RATE)
     assert net.score(context, token).mean() > before + 0.5
-    assert np.allclose(np.exp(net.forward(context[:50])[1]).sum(axis=1), 1, atol=1e-4)
+    every = np.stack([net.score(context[:, :50], np.full(50, w)) for w in range(L.VOCABULARY)])
+    assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-4)
+    net.out[:, 3] += 100  # large scores are shifted first
+    assert np.isfinite(net.score(context, token)).all()
 
 
 def test_scores_add_up_and_order(spark):
@@ -33,7 +36,11 @@ def test_scores_add_up_and_order(spark):
             continue
         data = np.frombuffer((t or "").encode(), np.uint8)
         context, token, _ = L.numbered(data, np.array([0, len(data)]), vocabulary)
-        one = sum(net.forward(context[k : k + 1])[1][0, token[k]] for k in range(n))  # one place at a time
+        padded = [L.BOUNDARY] * L.WINDOW + token.tolist() + [L.BOUNDARY] * L.WINDOW
+        for k in range(min(n, 400)):
+            near = padded[k : k + 2 * L.WINDOW + 1]
+            assert near[: L.WINDOW] + near[L.WINDOW + 1 :] == context[:, k].tolist()
+        one = sum(float(net.score(context[:, k : k + 1], token[k : k + 1])[0]) for k in range(n))
         assert abs(r.log_p - one) < 1e-2 * max(1, n) and abs(r.mean_log_p - r.log_p / n) < 1e-9
     assert min(r.mean_log_p for (i, _), r in got.items() if i and 2000 <= i < 3000) > got[5000, 100].mean_log_p
     assert L.score(documents(spark, []), *L.fit(documents(spark, []))).count() == 0
