@@ -112,10 +112,11 @@ class ByteBpe:
         return [(int(point[s]), int(point[e - 1]) + 1) for s, e in zip([0, *ends], ends, strict=False)]
 
 
-_made: dict[tuple[str, str], ByteBpe] = {}
+_made: dict[tuple[str, str], ByteBpe] = textops.keep("byte_bpe", {})
 
 
 def byte_bpe(ranks_path: str, pattern: str) -> ByteBpe:
+    textops.claim("byte_bpe")
     if (ranks_path, pattern) not in _made:
         _made[ranks_path, pattern] = ByteBpe(ranks_path, pattern)
     return _made[ranks_path, pattern]

@@ -171,6 +171,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            textops.claim("decontam")
             block = shared.value
             for batch in batches:
                 rows, items, edits = [], [], []

@@ -96,6 +96,7 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
     rows, banded = rule.rows, rule.rows * BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.claim("near_dup")
         times, mixers = _odd(HASHES, 23, np.uint32), _odd(rows, 29, np.uint64)
         salt = textops.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:

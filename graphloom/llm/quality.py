@@ -126,6 +126,7 @@ def count_grams(docs: DataFrame, known: list[str]) -> DataFrame:
     """``lang, gram, n``: 4-gram counts over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.claim("quality")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = A**ORDER
 
@@ -186,7 +187,7 @@ def kneser_ney(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return model
 
 
-_dense: dict[int, tuple[list, np.ndarray]] = {}
+_dense: dict[int, tuple[list, np.ndarray]] = textops.keep("quality", {})
 
 
 def _expanded(model: list) -> np.ndarray:
@@ -251,6 +252,7 @@ def measure(docs: DataFrame, models: dict[int, list], known: list[str], key: str
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.claim("quality")
         model = shared.value
         for batch in batches:
             langs = _lang_rows(batch, known)

@@ -11,6 +11,31 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: What each operator keeps in a Python worker, by name.
+_kept: dict[str, dict] = {}
+
+
+def keep(name: str, cache: dict) -> dict:
+    """Register a worker's cache, to be freed when another operator starts there."""
+    _kept[name] = cache
+    return cache
+
+
+def claim(name: str) -> None:
+    """Free what other operators left in this worker; workers serve one task at a time."""
+    others = [c for n, c in _kept.items() if n != name and c]
+    for cache in others:
+        cache.clear()
+    if others:
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps freed memory its own way
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

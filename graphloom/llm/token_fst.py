@@ -306,10 +306,11 @@ class Transducer:
                 self.reset()
 
 
-_compiled: dict[str, Transducer] = {}
+_compiled: dict[str, Transducer] = textops.keep("token_fst", {})
 
 
 def transducer(model_path: str) -> Transducer:
+    textops.claim("token_fst")
     if model_path not in _compiled:
         _compiled[model_path] = Transducer(model_path)
     return _compiled[model_path]
