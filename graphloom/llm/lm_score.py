@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Tokens are the lower-cased words of a text: the most frequent have numbers of their own, the others share
-hashed ones.  The network predicts every token from ``WINDOW`` tokens on either side (the sum of one embedding per
-place, tanh, softmax).  It is trained on all rows: in a round every input partition takes the
-shared weights through its tokens by gradient descent and returns them, weighted by its tokens; Spark sums
-them and the driver has one set of weights, whose size is fixed by the parameters.
-A text's score is the sum of the log-probabilities of its tokens given both sides.
+Tokens are the lower-cased words of a text.  The most frequent are classes of their own, the others are dealt by
+hash to shared classes.  The network predicts the class of every token from the classes of ``WINDOW`` tokens on either
+side (the sum of one embedding per place, tanh, softmax).  It is trained on all rows: in a round every input partition
+takes the shared weights through its tokens by gradient descent and returns them, weighted by its tokens; Spark sums
+them and the driver has one set of weights.  Within its class a word has its share of the class's occurrences in
+all rows: every word that occurs ``LEAST`` times or more has a number and a share of its own, so the vocabulary
+grows with the input; the rarer words of a class have equal parts of what they occur together.
+A text's score is the sum of the log-probabilities of its words given both sides.
 
 The result depends on how the input is split into partitions (each trains on its own), not on which
 executor runs them or how often.  Defined cases: null and empty texts, and texts without words, have no
-tokens, score 0 and a null mean; places beyond a text's ends hold one boundary token; repeated rows train and
+tokens, score 0 and a null mean; a word that no row had counts as one more rare word of its class; places beyond a text's ends hold one boundary token; repeated rows train and
 score like any; an empty table leaves the initial weights; other columns are ignored.
 """
 from __future__ import annotations
@@ -31,6 +33,8 @@ BATCH = 1024
 RATE = 0.7
 ROUNDS = 1
 HELD_WORDS = 1_000_000
+#: Occurrences from which a word has a number of its own.
+LEAST = 50
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -69,8 +73,14 @@ def _word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return textops.Hashes(low).spans(starts, ends), before
 
 
+def classes(token: np.ndarray) -> np.ndarray:
+    """The classes of numbered words; numbers under ``VOCABULARY`` are classes."""
+    return np.where(token < VOCABULARY, token, OWN + (token - VOCABULARY) % SHARED)
+
+
 class Network:
-    """Weights: embeddings by place and token, a bias for the hidden layer, output weights and biases."""
+    """Weights: embeddings by place and class, a bias for the hidden layer, output weights and biases; behind them, if
+    fitted, the log-probabilities within their class of a rare word of each shared class and of every numbered word."""
 
     SHAPES = ((2 * WINDOW, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, VOCABULARY), (VOCABULARY,))
     SIZE = sum(int(np.prod(s)) for s in SHAPES)
@@ -78,7 +88,7 @@ class Network:
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
             flat = np.random.Generator(np.random.PCG64(3)).normal(0, 0.1, self.SIZE)
-        self.flat = np.array(flat, np.float32)
+        self.flat, self.within = np.array(flat[: self.SIZE], np.float32), flat[self.SIZE :]
         parts, at = [], 0
         for s in self.SHAPES:
             n = int(np.prod(s))
@@ -117,24 +127,39 @@ class Network:
             self.embed[k][token[at]] -= 10 * rate * np.add.reduceat(back.take(order, axis=0), at, axis=0)
 
     def score(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the targets."""
+        """Log-probabilities of the targets; both arguments may hold classes or numbered words."""
         out = np.empty(len(target), np.float64)
+        word, context, target = target, classes(context), classes(target)
         for i in range(0, len(target), BATCH):
             part = target[i : i + BATCH]
             _, scores, e = self.forward(context[:, i : i + BATCH])
             out[i : i + BATCH] = scores[np.arange(len(part)), part] - np.log(e.sum(axis=1))
+        if len(self.within):
+            shared = np.flatnonzero((word >= OWN) & (word != BOUNDARY))
+            at = word[shared].astype(np.int64)
+            out[shared] += self.within[np.where(at < VOCABULARY, at - OWN, SHARED + (at - VOCABULARY) // SHARED)]
         return out
 
 
 def numbered(buf: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts (a row per place) and numbers of all tokens of a slice, and the tokens before each row; ``vocabulary``: sorted hashes, at most ``OWN``."""
+    """Contexts (a row per place) and numbers of all tokens of a slice, and the tokens before each row.
+
+    ``vocabulary``: sorted hashes of at most ``OWN`` words with a class, then those of the other numbered words, sorted.
+    The ``i``-th of these in class ``OWN + c`` is ``VOCABULARY + i * SHARED + c``.
+    """
     h, before = _word_hashes(buf, offs)
-    token = (OWN + h % np.uint64(SHARED)).astype(np.int16)
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        own = vocabulary[at] == h
-        token[own] = at[own]
-    context = np.full((2 * WINDOW, len(token)), BOUNDARY, np.int16)
+    own, others = vocabulary[:OWN], vocabulary[OWN:]
+    token = (OWN + h % np.uint64(SHARED)).astype(np.int64 if len(others) else np.int16)
+    if len(own):
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        hit = own[at] == h
+        if len(others):
+            rest = np.flatnonzero(~hit)
+            k = np.minimum(np.searchsorted(others, h[rest]), len(others) - 1)
+            known = others[k] == h[rest]
+            token[rest[known]] += VOCABULARY - OWN + k[known] * SHARED
+        token[hit] = at[hit]
+    context = np.full((2 * WINDOW, len(token)), BOUNDARY, token.dtype)
     starts = before[:-1]
     for k, d in enumerate(d for d in range(-WINDOW, WINDOW + 1) if d):
         if d < 0:
@@ -175,9 +200,27 @@ def train(docs: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS) -> np.n
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and vocabulary from all rows of ``text``."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(OWN).collect()
-    vocabulary = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
-    return train(docs, vocabulary, rounds), vocabulary
+    counts, path = common.write_shared(docs.sparkSession, count_words(docs), "words")
+    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    own = np.array([r.word for r in top], np.int64).view(np.uint64)
+    own_n = np.array([r.n for r in top], np.int64)
+    # All occurrences in each class, those of words under LEAST, and the number of these; the hash is unsigned.
+    shared = F.expr(f"cast((2 * (shiftrightunsigned(word, 1) % {SHARED}) + (word & 1)) % {SHARED} as int)")
+    rare = F.col("n") < LEAST
+    sums = np.zeros((3, SHARED))
+    for r in counts.groupBy(shared.alias("c")).agg(F.sum("n").alias("n"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("rare_n"), F.count(F.when(rare, 1)).alias("rare")).collect():
+        sums[:, r.c] = r.n, r.rare_n, r.rare
+    np.subtract.at(sums, (slice(None), (own % np.uint64(SHARED)).astype(np.int64)), np.stack([own_n, np.where(own_n < LEAST, own_n, 0), own_n < LEAST]))
+    listed = counts.where(~rare).toPandas()  # grows with the input
+    common.drop_shared(docs.sparkSession, path)
+    h, n = listed["word"].to_numpy(np.int64).view(np.uint64), listed["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    order = order[~np.isin(h[order], own)]
+    h, n = h[order], n[order]
+    total = sums[0] + 1  # one more for a word that no row had
+    within = np.concatenate((np.log((sums[1] + 1) / total / (sums[2] + 1)), np.log(n / total[(h % np.uint64(SHARED)).astype(np.int64)])))
+    own = np.sort(own)
+    return np.concatenate((train(docs, own, rounds), within.astype(np.float32))), np.concatenate((own, h))
 
 
 def score(docs: DataFrame, flat: np.ndarray, vocabulary: np.ndarray) -> DataFrame:

@@ -50,3 +50,27 @@ def test_counts_cover_all_rows(spark):
     rows = [(i, text(random.Random(i), 30)) for i in range(50)]
     total = L.count_words(documents(spark, rows)).agg({"n": "sum"}).first()[0]
     assert total == 50 * 30
+
+
+def test_every_counted_word_has_its_own_share(spark):
+    """The vocabulary follows the counts, and the words of a class share its probability by them."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 2, 700 * (1 + i % 2))) + " w1399 w1398 once" + str(i)) for i in range(2 * L.LEAST)]
+    docs = documents(spark, rows)
+    flat, vocabulary = L.fit(docs)
+    assert len(vocabulary) == 1400  # 192 before, however many words the rows had
+    small = L.fit(documents(spark, rows[: L.LEAST]))[1]
+    assert len(small) < len(vocabulary)
+    every = [f"w{j}" for j in range(1400)] + [f"once{i}" for i in range(2 * L.LEAST)]
+    data = np.frombuffer(" ".join(every).encode(), np.uint8)
+    token = L.numbered(data, np.array([0, len(data)]), vocabulary)[1]
+    assert len(set(token[:1400].tolist())) == 1400
+    net = L.Network(flat)
+    context = np.full((2 * L.WINDOW, len(token)), L.BOUNDARY)
+    p = dict(zip(every, np.exp(net.score(context, token))))
+    # In one context all words sum to one, but for the boundary and a little kept for words that no row had.
+    none = np.exp(net.score(context[:, :1], np.array([L.BOUNDARY])))[0]
+    assert 0.9 < sum(p.values()) + none < 1.001
+    of = {w: int(c) for w, c in zip(every, L.classes(token))}
+    often = next(w for w in every[1000:1398] if of[w] >= L.OWN and any(of[x] == of[w] for x in every[1400:]))
+    rare = next(x for x in every[1400:] if of[x] == of[often])
+    assert abs(np.log(p[often] / p[rare]) - np.log(L.LEAST)) < 0.5  # equal before
