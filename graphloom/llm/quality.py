@@ -8,7 +8,9 @@ order from the counts of counts.  A model is stored as arrays of hashes (the pac
 log-probabilities, one pair per order; a text's 4-grams are looked up there (a worker expands the highest order into a table) and back off by binary search if missing.
 
 The bands: the median of the mean log-probability of all rows of a language, and ``BAND`` times a
-robust deviation to either side.  Rows outside are rejected, as are rows that fail the base rules.
+robust deviation to either side.  A row that is too hard is scored again in pieces (lines, long ones cut), each by the
+model of the language that fits it best, so that texts of several languages are measured by models of them.
+Rows then outside are rejected, as are rows that fail the base rules.
 
 Defined cases: null text counts as empty (all counts 0, base failed); a null language, and languages
 beyond the ``LANGUAGES`` most frequent, share one model; texts under 4 characters have no perplexity
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textops
@@ -31,10 +33,12 @@ LANGUAGES = 31
 #: Robust deviations from the median by which a row's perplexity may lie below it (repeated patterns are easier than
 #: language) and above it.
 BAND = (8.0, 8.0)
-#: The band of the query and the pipeline: texts of several languages are harder than either and stay; what is no language lies beyond.
+#: A wide band, for corpora whose second languages have no rows of their own; the query and the pipeline use ``BAND``.
 CORPUS_BAND = (8.0, 40.0)
 SYMBOLS = b"#*$%&|<>"
 HELD_GRAMS = 2_000_000
+#: 4-grams of a piece at most.
+PIECE = 128
 #: Models of which a worker keeps the expanded table (15 MB each).
 DENSE_MODELS = 6
 
@@ -244,7 +248,7 @@ def fit(docs: DataFrame, known: list[str]) -> dict[int, list]:
     return out
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang_no int, mean_log_p double"
+MEASURES = "row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang_no int, mean_log_p double"
 
 
 def measure(docs: DataFrame, models: dict[int, list], known: list[str], key: str = "doc_id") -> DataFrame:
@@ -268,11 +272,50 @@ def measure(docs: DataFrame, models: dict[int, list], known: list[str], key: str
                 mean = np.bincount(row, logp, len(n)) / np.maximum(n, 1)
                 parts.append([*part.values(), langs[i:j].astype(np.int32), np.where(n > 0, mean, np.nan)])
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in ([np.int64] * 5 + [np.int32, np.float64])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols[:-1]), pa.array(cols[-1], mask=np.isnan(cols[-1]))], ["doc_id", *(x.split()[0] for x in MEASURES.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols[:-1]), pa.array(cols[-1], mask=np.isnan(cols[-1]))], ["doc_id", *(x.split()[0] for x in MEASURES.split(", "))])
         _dense.clear()
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(docs[key].alias("doc_id"), "lang", "text").mapInArrow(run, f"doc_id {kind}, {MEASURES}")
+    return docs.select(docs[key].alias("doc_id"), _row_key(docs, key), "lang", "text").mapInArrow(run, f"doc_id {kind}, {MEASURES}")
+
+
+def _row_key(docs: DataFrame, key: str = "doc_id") -> Column:
+    """Equal rows have equal keys; they have equal verdicts too."""
+    return F.xxhash64(docs[key], "lang", "text").alias("row_key")
+
+
+def _pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The piece of each 4-gram of a slice, from 0 and ascending: a new one in each row, after a line's end, and after ``PIECE`` grams."""
+    cps, at = textops.code_points(buf, offs)
+    n = np.maximum(np.diff(at) - (ORDER - 1), 0)
+    row = np.repeat(np.arange(len(n)), n)
+    place = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    line = np.concatenate(([0], np.cumsum(cps == 10)))[place] + row
+    first, size = textops.runs(line)
+    within = np.arange(len(line)) - np.repeat(first, size)
+    return np.cumsum(np.concatenate(([0], (line[1:] != line[:-1]) | (within[1:] % PIECE == 0)))) if len(line) else line
+
+
+def best_fit(docs: DataFrame, models: dict[int, list]) -> DataFrame:
+    """``row_key, best_mean``: the mean log-probability of every row of ``row_key, text`` with each piece scored by the model that fits it best."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.claim("quality")
+        for batch in batches:
+            means = [np.zeros(0)]
+            for _, _, buf, offs in textops.slices(batch, "text"):
+                packed, row, n = grams(buf, offs)
+                piece = _pieces(buf, offs)
+                best = np.full(int(piece[-1]) + 1 if len(piece) else 0, -np.inf)
+                for model in shared.value.values():
+                    np.maximum(best, np.bincount(piece, log_probabilities(model, packed), len(best)), out=best)
+                of = row[textops.runs(piece)[0]]
+                means.append(np.bincount(of, best, len(n)) / np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(means))], ["row_key", "best_mean"])
+        _dense.clear()
+
+    return docs.select("row_key", "text").mapInArrow(run, "row_key long, best_mean double")
 
 
 def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -280,7 +323,8 @@ def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "lang", "text")
     known = languages(docs)
-    measured, _ = common.write_shared(spark, measure(docs, fit(docs, known), known), "quality")
+    models = fit(docs, known)
+    measured, _ = common.write_shared(spark, measure(docs, models, known), "quality")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = measured.withColumn("base_failed", base_failed)
     q = F.percentile_approx("mean_log_p", [0.25, 0.5, 0.75], 10_000)
@@ -288,11 +332,17 @@ def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     # The deviation of a normal distribution is its quartile distance over 1.349; a floor keeps uniform corpora.
     dev = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.02))
     bands = bands.select("lang_no", (F.col("q")[1] - band[1] * dev).alias("least"), (F.col("q")[1] + band[0] * dev).alias("most"))
-    inside = F.coalesce(F.col("mean_log_p").between(F.col("least"), F.col("most")), F.lit(True))
-    return rows.join(F.broadcast(bands), "lang_no", "left").withColumn("perplexity", F.exp(-F.col("mean_log_p"))).withColumn("kept", ~F.col("base_failed") & inside)  # at most LANGUAGES + 1 bands
+    rows = rows.join(F.broadcast(bands), "lang_no", "left")  # at most LANGUAGES + 1 bands
+    hard, _ = common.write_shared(spark, rows.where("not base_failed and mean_log_p < least").select("row_key").distinct(), "hard")
+    again = docs.withColumn("row_key", _row_key(docs)).join(common.broadcast_if(hard, hard.count()), "row_key", "left_semi")
+    again, _ = common.write_shared(spark, best_fit(again, models).groupBy("row_key").agg(F.max("best_mean").alias("best_mean")), "again")
+    rows = rows.join(common.broadcast_if(again, again.count()), "row_key", "left")
+    low = F.coalesce(F.greatest("mean_log_p", "best_mean"), "mean_log_p")
+    inside = F.coalesce((low >= F.col("least")) & (F.col("mean_log_p") <= F.col("most")), F.lit(True))
+    return rows.withColumn("perplexity", F.exp(-F.col("mean_log_p"))).withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    rows = judge(common.table(spark, sf_dir, "documents"), CORPUS_BAND)
+    rows = judge(common.table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("perplexity", 4).alias("perplexity"))

@@ -111,3 +111,17 @@ def test_corpus_band(spark):
     mean = sorted(r.mean_log_p for r in Q.measure(docs, models, known).collect() if r.doc_id < 200)
     dev = max((mean[90] - mean[30]) / 1.349, 0.02)
     assert Q.measure(noise, models, known).first().mean_log_p < mean[60] - Q.CORPUS_BAND[1] * dev
+
+
+def test_mixed_texts_stay_in_the_tight_band(spark):
+    """Pieces are scored by the model that fits them: a text of two known languages stays, letter salad does not."""
+    rng = random.Random(11)
+    other = "der die das und nicht ein eine ist von mit sich auf für werden wird über zum haben sein einer durch wenn nach wurde keine".split()
+    say = lambda n: " ".join(rng.choice(other) for _ in range(n))
+    salad = "\n".join("".join(rng.choice("qzxjvkwypbgh ") for _ in range(60)) for _ in range(12))
+    rows = [(i, text(rng, 150), "en") for i in range(150)] + [(200 + i, say(150), "de") for i in range(150)]
+    rows += [(400, text(rng, 80) + "\n" + say(80), "en"), (401, text(rng, 60) + " " + say(90), "en"), (402, salad, "en"), (403, text(rng, 70) + "\n" + salad, "en")]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[400].mean_log_p < got[400].least and got[400].kept and got[401].kept
+    assert not got[402].base_failed and not got[402].kept and not got[403].kept
+    assert all(r.kept for i, r in got.items() if i < 400)
