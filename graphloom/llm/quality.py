@@ -12,8 +12,8 @@ robust deviation to either side.  A row that is too hard is scored again in piec
 model of the language that fits it best, so that texts of several languages are measured by models of them.
 Rows then outside are rejected, as are rows that fail the base rules.
 
-Defined cases: null text counts as empty (all counts 0, base failed); a null language, and languages
-beyond the ``LANGUAGES`` most frequent, share one model; texts under 4 characters have no perplexity
+Defined cases: null text counts as empty (all counts 0, base failed); rows of
+null language have a model and a band of their own, as every language has; texts under 4 characters have no perplexity
 and pass the bands; repeated rows count as often as they occur; an empty table gives no rows.
 """
 from __future__ import annotations
@@ -23,13 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textops
 
 ORDER = 4
-LANGUAGES = 31
 #: Robust deviations from the median by which a row's perplexity may lie below it (repeated patterns are easier than
 #: language) and above it.
 BAND = (8.0, 8.0)
@@ -116,9 +116,8 @@ def _distinct_rows(row: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def languages(docs: DataFrame, lang: str = "lang") -> list[str]:
-    """The most frequent languages; all others share the model named by the empty string."""
-    top = docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
-    return sorted(r[0] for r in top.collect())
+    """All languages; rows of null language have the number after the last."""
+    return sorted(r[0] for r in docs.where(F.col(lang).isNotNull()).select(lang).distinct().collect())
 
 
 def _lang_rows(batch: pa.RecordBatch, known: list[str]) -> np.ndarray:
@@ -191,6 +190,20 @@ def kneser_ney(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return model
 
 
+def _shared(spark: SparkSession, models: dict[int, list]) -> dict[int, Broadcast]:
+    """A broadcast of each model, so that a worker loads those of its rows' languages only."""
+    return {x: spark.sparkContext.broadcast(m) for x, m in models.items()}
+
+
+def _release(shared: dict[int, Broadcast]) -> None:
+    """Let go of the models a worker holds, if they are many."""
+    held = [b for b in shared.values() if hasattr(b, "_value")]
+    if len(held) > DENSE_MODELS:
+        _dense.clear()
+        for b in held:
+            del b._value
+
+
 _dense: dict[int, tuple[list, np.ndarray]] = textops.keep("quality", {})
 
 
@@ -253,11 +266,10 @@ MEASURES = "row_key long, n_words long, word_chars long, n_symbols long, n_dup_l
 
 def measure(docs: DataFrame, models: dict[int, list], known: list[str], key: str = "doc_id") -> DataFrame:
     """Base counts and mean log-probability of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = _shared(docs.sparkSession, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         textops.claim("quality")
-        model = shared.value
         for batch in batches:
             langs = _lang_rows(batch, known)
             parts = []
@@ -268,7 +280,8 @@ def measure(docs: DataFrame, models: dict[int, list], known: list[str], key: str
                 of = langs[i + row]
                 for x in np.unique(of).tolist():
                     at = np.flatnonzero(of == x)
-                    logp[at] = log_probabilities(model[x], packed[at]) if x in model else -np.log(A)
+                    logp[at] = log_probabilities(shared[x].value, packed[at]) if x in shared else -np.log(A)
+                    _release(shared)
                 mean = np.bincount(row, logp, len(n)) / np.maximum(n, 1)
                 parts.append([*part.values(), langs[i:j].astype(np.int32), np.where(n > 0, mean, np.nan)])
             cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in ([np.int64] * 5 + [np.int32, np.float64])]
@@ -298,7 +311,7 @@ def _pieces(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def best_fit(docs: DataFrame, models: dict[int, list]) -> DataFrame:
     """``row_key, best_mean``: the mean log-probability of every row of ``row_key, text`` with each piece scored by the model that fits it best."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = _shared(docs.sparkSession, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         textops.claim("quality")
@@ -308,8 +321,9 @@ def best_fit(docs: DataFrame, models: dict[int, list]) -> DataFrame:
                 packed, row, n = grams(buf, offs)
                 piece = _pieces(buf, offs)
                 best = np.full(int(piece[-1]) + 1 if len(piece) else 0, -np.inf)
-                for model in shared.value.values():
-                    np.maximum(best, np.bincount(piece, log_probabilities(model, packed), len(best)), out=best)
+                for model in shared.values():
+                    np.maximum(best, np.bincount(piece, log_probabilities(model.value, packed), len(best)), out=best)
+                    _release(shared)
                 of = row[textops.runs(piece)[0]]
                 means.append(np.bincount(of, best, len(n)) / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(means))], ["row_key", "best_mean"])
@@ -332,7 +346,7 @@ def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     # The deviation of a normal distribution is its quartile distance over 1.349; a floor keeps uniform corpora.
     dev = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.02))
     bands = bands.select("lang_no", (F.col("q")[1] - band[1] * dev).alias("least"), (F.col("q")[1] + band[0] * dev).alias("most"))
-    rows = rows.join(F.broadcast(bands), "lang_no", "left")  # at most LANGUAGES + 1 bands
+    rows = rows.join(F.broadcast(bands), "lang_no", "left")  # one band a language
     hard, _ = common.write_shared(spark, rows.where("not base_failed and mean_log_p < least").select("row_key").distinct(), "hard")
     again = docs.withColumn("row_key", _row_key(docs)).join(common.broadcast_if(hard, hard.count()), "row_key", "left_semi")
     again, _ = common.write_shared(spark, best_fit(again, models).groupBy("row_key").agg(F.max("best_mean").alias("best_mean")), "again")

@@ -125,3 +125,17 @@ def test_mixed_texts_stay_in_the_tight_band(spark):
     assert got[400].mean_log_p < got[400].least and got[400].kept and got[401].kept
     assert not got[402].base_failed and not got[402].kept and not got[403].kept
     assert all(r.kept for i, r in got.items() if i < 400)
+
+
+def test_every_language_has_a_model_and_a_band(spark):
+    rng = random.Random(13)
+    names = [f"l{i:02}" for i in range(40)]
+    rows = [(100 * k + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k % 20 : k % 20 + 6]) for _ in range(4)) for _ in range(60)), x) for k, x in enumerate(names) for i in range(4 if k else 8)]
+    rows += [(9000 + i, text(rng, 80), None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = Q.languages(docs)
+    assert known == names and set(Q.fit(docs, known)) == set(range(41))
+    got = {r.doc_id: r for r in Q.judge(docs).collect()}
+    assert len(got) == len(rows) and len({r.lang_no for r in got.values()}) == 41
+    alone = {r.doc_id: r for r in Q.judge(docs.where("lang = 'l39'")).collect()}
+    assert all(abs(r.mean_log_p - got[i].mean_log_p) < 1e-6 and abs(r.least - got[i].least) < 1e-6 for i, r in alone.items())
