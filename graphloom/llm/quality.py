@@ -1,11 +1,11 @@
 """Quality rules: base counts, and character 4-gram perplexity within bands per language.
 
-Characters fall into a fixed alphabet of ``A`` classes (letters without case, a digit, white space, kinds of
-punctuation, hashed classes for the rest), so a language has at most ``A**4`` 4-grams whatever
-the corpus holds.  Spark counts them over all rows (tasks sum before the shuffle), and one interpolated
+Characters fall into ``A`` classes: letters without case, a digit, white space and kinds of punctuation of ASCII, and
+beyond ASCII one class a code point up to U+D733 (nearly all scripts); those above share classes with these.
+Spark counts the 4-grams over all rows (tasks sum before the shuffle), and one interpolated
 modified Kneser-Ney model is made per language: lower orders from continuation counts, three discounts per
 order from the counts of counts.  A model is stored as arrays of hashes (the packed grams) in ascending order beside
-log-probabilities, one pair per order; a text's 4-grams are looked up there (a worker expands the highest order into a table) and back off by binary search if missing.
+log-probabilities, one pair per order; a text's 4-grams are looked up there (a worker puts the highest order into a hash table) and back off by binary search if missing.
 
 The bands: the median of the mean log-probability of all rows of a language, and ``BAND`` times a
 robust deviation to either side.  A row that is too hard is scored again in pieces (lines, long ones cut), each by the
@@ -39,14 +39,16 @@ SYMBOLS = b"#*$%&|<>"
 HELD_GRAMS = 2_000_000
 #: 4-grams of a piece at most.
 PIECE = 128
-#: Models of which a worker keeps the expanded table (15 MB each).
+#: Models of which a worker keeps the hash table, and the bits of its slots at most (12 MB each).
 DENSE_MODELS = 6
+SLOT_BITS = 20
+#: Classes; ``A**4`` is under 2**63.
+A = 55_000
 
 
-def _classes() -> tuple[np.ndarray, int]:
-    """The class of every code point and the number of classes."""
-    out = np.empty(0x110000, np.uint8)
-    out[:] = 36 + np.arange(0x110000) % 8  # others: eight classes by code point
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    out = (36 + np.arange(-128, 0x110000 - 128) % (A - 36)).astype(np.uint16)
     out[:128] = 35  # other ASCII
     out[97:123] = out[65:91] = np.arange(26)
     out[48:58] = 26
@@ -54,10 +56,10 @@ def _classes() -> tuple[np.ndarray, int]:
         out[[ord(c) for c in chars]] = k
     upper = np.array([c for c in range(192, 0x530) if chr(c).lower() != chr(c) and len(chr(c).lower()) == 1])
     out[upper] = out[[ord(chr(c).lower()) for c in upper]]
-    return out, 44
+    return out
 
 
-CLASS_OF, A = _classes()
+CLASS_OF = _classes()
 
 
 def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +68,7 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     n = np.maximum(np.diff(at) - (ORDER - 1), 0)
     if not n.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), n
-    c = CLASS_OF[cps].astype(np.int32)
+    c = CLASS_OF[cps].astype(np.int64)
     packed = ((c[:-3] * A + c[1:-2]) * A + c[2:-1]) * A + c[3:]
     row = np.repeat(np.arange(len(n)), n)
     return packed[at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)], row, n
@@ -130,33 +132,36 @@ def count_grams(docs: DataFrame, known: list[str]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         textops.claim("quality")
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = A**ORDER
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
-            order = np.argsort(keys, kind="stable")
-            at, _ = textops.runs(keys[order])
-            return keys[order][at], np.add.reduceat(n[order], at) if len(at) else n
-
-        def out() -> pa.RecordBatch:
-            keys, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array((keys // size).astype(np.int32)), pa.array((keys % size).astype(np.int32)), pa.array(n)], ["lang", "gram", "n"])
-
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def merge() -> int:
+            for parts in held.values():
+                keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+                order = np.argsort(keys, kind="stable")
+                at, _ = textops.runs(keys[order])
+                parts[:] = [(keys[order][at], np.add.reduceat(n[order], at) if len(at) else n)]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            merge()
+            for x, ((keys, n),) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), x, np.int32)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+            held.clear()
+
+        slices = 0
         for batch in batches:
             langs = _lang_rows(batch, known)
             for i, _, buf, offs in textops.slices(batch, "text"):
                 packed, row, _ = grams(buf, offs)
-                held.append(textops.unique_counts(packed + langs[i + row] * size))
-                if len(held) >= 16:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > HELD_GRAMS:
-                        yield out()
-                        held.clear()
-        if held:
-            yield out()
-
-    counted = docs.select("lang", "text").mapInArrow(count, "lang int, gram int, n long")
+                of = langs[i + row]
+                for x in np.unique(of).tolist():
+                    held.setdefault(x, []).append(textops.unique_counts(packed[of == x]))
+                slices += 1
+                if slices % 16 == 0 and merge() > HELD_GRAMS:
+                    yield from out()
+        yield from out()
+
+    counted = docs.select("lang", "text").mapInArrow(count, "lang int, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -204,25 +209,35 @@ def _release(shared: dict[int, Broadcast]) -> None:
             del b._value
 
 
-_dense: dict[int, tuple[list, np.ndarray]] = textops.keep("quality", {})
+_dense: dict[int, tuple[list, int, np.ndarray, np.ndarray]] = textops.keep("quality", {})
+
+
+def _slots(packed: np.ndarray, bits: int) -> np.ndarray:
+    return ((packed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _expanded(model: list) -> np.ndarray:
-    """The highest order's log-probabilities by gram, 0 where the sorted array has none; a worker keeps a few."""
+def _hashed(model: list) -> tuple[int, np.ndarray, np.ndarray]:
+    """Slot bits, grams and log-probabilities of the highest order's hash table, one gram a slot; a worker keeps a few."""
     got = _dense.get(id(model))
     if got is None:
         while len(_dense) >= DENSE_MODELS:
             _dense.pop(next(iter(_dense)))
-        table = np.zeros(A**ORDER, np.float32)
-        table[model[-1][0]] = model[-1][1]
-        got = _dense[id(model)] = (model, table)
-    return got[1]
+        keys, logp = model[-1][:2]
+        bits = min(SLOT_BITS, max(8, (4 * len(keys)).bit_length()))
+        grams_at, logp_at = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        at = _slots(keys, bits)
+        at, last = np.unique(at, return_index=True)
+        grams_at[at], logp_at[at] = keys[last], logp[last]
+        got = _dense[id(model)] = (model, bits, grams_at, logp_at)
+    return got[1:]
 
 
 def log_probabilities(model: list, packed: np.ndarray) -> np.ndarray:
     """The log-probability of the last character of each gram given the others."""
-    out = _expanded(model)[packed].astype(np.float64)
-    todo = np.flatnonzero(out == 0)
+    bits, grams_at, logp_at = _hashed(model)
+    at = _slots(packed, bits)
+    out = logp_at[at].astype(np.float64)
+    todo = np.flatnonzero(grams_at[at] != packed)  # no slot of its own, or not in the model
     if len(todo):
         out[todo] = _backed_off(model, packed[todo])
     return out
@@ -248,16 +263,16 @@ def _backed_off(model: list, packed: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, known: list[str]) -> dict[int, list]:
-    """The model of each language; each is made in one task from at most ``A**4`` counts."""
+    """The model of each language; each is made in one task from its distinct grams, which grow with a large alphabet."""
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         model = kneser_ney(pdf["gram"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame([(int(pdf["lang"].iloc[0]), k, *[x.astype(np.int32 if x.dtype == np.int64 else np.float32).tobytes() for x in part]) for k, part in enumerate(model)], columns=["lang", "k", "g", "p", "c", "w"])
+        return pd.DataFrame([(int(pdf["lang"].iloc[0]), k, *[x.tobytes() for x in part]) for k, part in enumerate(model)], columns=["lang", "k", "g", "p", "c", "w"])
 
     rows = count_grams(docs, known).groupBy("lang").applyInPandas(make, "lang int, k int, g binary, p binary, c binary, w binary").collect()
     out: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.k)):
-        out.setdefault(r.lang, []).append(tuple(np.frombuffer(x, t) for x, t in ((r.g, np.int32), (r.p, np.float32), (r.c, np.int32), (r.w, np.float32))))
+        out.setdefault(r.lang, []).append(tuple(np.frombuffer(x, t) for x, t in ((r.g, np.int64), (r.p, np.float32), (r.c, np.int64), (r.w, np.float32))))
     return out
 
 

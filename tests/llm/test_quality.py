@@ -139,3 +139,17 @@ def test_every_language_has_a_model_and_a_band(spark):
     assert len(got) == len(rows) and len({r.lang_no for r in got.values()}) == 41
     alone = {r.doc_id: r for r in Q.judge(docs.where("lang = 'l39'")).collect()}
     assert all(abs(r.mean_log_p - got[i].mean_log_p) < 1e-6 and abs(r.least - got[i].least) < 1e-6 for i, r in alone.items())
+
+
+def test_letter_salad_of_another_script_is_rejected(spark):
+    rng = random.Random(17)
+    for first, n, size in ((0x430, 32, 6), (0x3B1, 25, 6), (0x4E00, 3000, 2)):
+        words = ["".join(chr(first + rng.randrange(n)) for _ in range(size)) for _ in range(120)]
+        letters = sorted({c for w in words for c in w})
+        rows = [(i, " ".join(rng.choice(words) for _ in range(120)), "x") for i in range(80)]
+        rows.append((900, " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(120)), "x"))
+        # The same word shapes in the former classes (code point mod 8): a salad of letters that agree modulo 8.
+        salad = {c: [d for d in letters if ord(d) % 8 == ord(c) % 8] for c in letters}
+        rows.append((901, " ".join("".join(rng.choice(salad[c]) for c in rng.choice(words)) for _ in range(120)), "x"))
+        got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert all(got[i].kept for i in range(80)) and not got[900].kept and not got[901].kept
