@@ -45,15 +45,25 @@ def majority_label(rows: DataFrame, by: str) -> DataFrame:
     return n.groupBy(by).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("majority"))
 
 
+def _at(values: list[Column]) -> Column:
+    return F.element_at(F.array(*values), F.col("u") + 1)
+
+
+def degree_bound(q: QueryGraph) -> Column:
+    """Edges that a vertex of ``degree`` must lack as query vertex ``u``."""
+    return F.greatest(F.lit(0), _at([F.lit(q.degree(u)) for u in range(q.size)]) - F.col("degree"))
+
+
+def label_bound(q: QueryGraph) -> Column:
+    """Neighbours of query vertex ``u`` whose label is not among ``nlabels``."""
+    wanted = _at([F.array(*[F.lit(q.labels[w]) for w in q.neighbours(u)]).cast("array<string>") for u in range(q.size)])
+    return F.size(F.filter(wanted, lambda x: ~F.array_contains(F.col("nlabels"), x)))
+
+
 def may_hold(q: QueryGraph, threshold: int) -> Column:
     """Whether a row with ``u, labels, nlabels, degree`` passes the label, degree and neighbour-label bounds."""
     t = q.clamp(threshold)
-    at = lambda values: F.element_at(F.array(*values), F.col("u") + 1)
-    label = at([F.lit(x) for x in q.labels])
-    degree = at([F.lit(q.degree(u)) for u in range(q.size)])
-    wanted = at([F.array(*[F.lit(q.labels[w]) for w in q.neighbours(u)]).cast("array<string>") for u in range(q.size)])
-    served = F.size(F.filter(wanted, lambda x: F.array_contains(F.col("nlabels"), x)))
-    return F.array_contains("labels", label) & (F.greatest(F.lit(0), degree - F.col("degree")) <= t) & (degree - served <= t)
+    return F.array_contains("labels", _at([F.lit(x) for x in q.labels])) & (degree_bound(q) <= t) & (label_bound(q) <= t)
 
 
 def index_candidates(g: GraphView, q: QueryGraph, threshold: int) -> DataFrame:

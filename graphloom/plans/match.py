@@ -8,6 +8,7 @@ from ..functions.mappings import m
 from ..operators import candidates
 from ..operators.graph import GraphView
 from ..operators.stats import PlanStatistics
+from ..shared import write_shared
 from .branch import Branches
 from .config import MatchConfig
 from .enumerate import enumerate_all
@@ -17,17 +18,17 @@ from .query import QueryGraph
 
 
 def plan(g: GraphView, q: QueryGraph, threshold: int, config: MatchConfig) -> Branches | DataFrame:
-    stats = PlanStatistics(g, q)
-    if 0 in stats.vertices:  # a label the data lack: no mapping
-        return g.vtx.sparkSession.createDataFrame([], ", ".join([*(f"{m(u)} long" for u in range(q.size)), "missing int"]))
+    spark, stats = g.vtx.sparkSession, PlanStatistics(g, q)
+    if any(n < q.labels.count(x) for x, n in zip(q.labels, stats.vertices, strict=True)):  # a label that the data lack or hold too seldom, as in a query larger than the data: no mapping
+        return spark.createDataFrame([], ", ".join([*(f"{m(u)} long" for u in range(q.size)), "missing int"]))
     if config.strategy in ("branch", "tree"):
-        cand = candidates.pipeline(g, q, threshold, config.bridge_filter, config.spoke_filter).persist() if config.candidates else None
+        cand = write_shared(spark, candidates.pipeline(g, q, threshold, config.bridge_filter, config.spoke_filter), "candidates")[0] if config.candidates else None
         return Branches(g, q, threshold, config, stats.weight, stats.size_of, cand)
     if config.strategy in ("lattice", "fragment"):
         return {"lattice": lattice, "fragment": fragment}[config.strategy](g, q, threshold, Matcher(g, q, stats.size_of, stats.selectivity))
     order = q.match_order(q.edges, stats.size_of)
     if config.strategy == "index":
-        cand = index_candidates(g, q, threshold).persist()
+        cand = write_shared(spark, index_candidates(g, q, threshold), "candidates")[0]
         return enumerate_all(g, q, threshold, order, {u: cand.where(F.col("u") == u).select(F.col("vid").alias(m(u))) for u in range(q.size)})
     return enumerate_all(g, q, threshold, order, {u: g.with_label(q.labels[u], m(u)) for u in range(q.size)})
 

@@ -103,3 +103,64 @@ def test_goldens_of_tables(spark, sf_dir):
     assert h.edge.count() == 2506
     q = pattern("triangle", ["cust:BUILDING", "supplier", "nation"])
     assert [match(h, q, t).count() for t in (0, 1)] == [5, 495]
+
+
+def spokes_by_hand(q, labels, edges, t, cand):
+    """The fixpoint of the spoke rule, by trying all assignments of a candidate's neighbours."""
+    nbr = lambda v: {b if a == v else a for a, b in edges if v in (a, b)}
+
+    def best(u, v, cand, must):
+        """The most query neighbours of u that distinct neighbours of v serve (``must``: all bridge ones among them)."""
+        wanted = q.neighbours(u)
+
+        def grow(i, used, n):
+            if i == len(wanted):
+                return n
+            w = wanted[i]
+            ways = [grow(i + 1, used | {x}, n + 1) for x in nbr(v) - used if (w, x) in cand]
+            return max([*ways, -9 if must(w) else grow(i + 1, used, n)])
+
+        return grow(0, set(), 0)
+
+    t = q.clamp(t)
+    while True:
+        fixed = lambda u, w: tuple(sorted((u, w))) in q.bridges()
+        left = {(u, v) for u, v in cand if best(u, v, cand, lambda w, u=u: fixed(u, w)) >= q.degree(u) - min(t, q.degree(u) - 1)}
+        if left == cand:
+            return cand
+        cand = left
+
+
+@pytest.mark.parametrize("name", ["diamond", "tailed_triangle"])
+def test_spokes_against_enumeration(spark, name):
+    rng = random.Random(name)
+    q = pattern(name, [rng.choice("AB") for _ in range({"bowtie": 5, "path3": 3}.get(name, 4))])
+    labels = {v: rng.choice("AB") for v in range(9)}
+    edges = {(a, b) for a in labels for b in labels if a < b and rng.random() < 0.35}
+    g = view(spark, labels, edges)
+    for t in range(3):
+        start = {(u, v) for u, x in enumerate(q.labels) for v, y in labels.items() if x == y}
+        got = candidates.by_spokes(g, q, t, candidates.by_label(g, q))
+        used = {(u, v) for m, _ in brute_force(q, labels, edges, t) for u, v in enumerate(m)}
+        mine = {tuple(r) for r in got.collect()}
+        # Hall's rule bounds bridge neighbours and all neighbours each for itself; one assignment must meet both.
+        assert spokes_by_hand(q, labels, edges, t, start) <= mine and used <= mine
+        if not q.bridges():
+            assert mine == spokes_by_hand(q, labels, edges, t, start)
+        assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 5000
+
+
+def test_bridge_support_against_enumeration(spark):
+    rng = random.Random(4)
+    q = QueryGraph.of("ABABC", [(0, 1), (1, 2), (2, 3), (1, 4)])
+    labels = {v: rng.choice("ABC") for v in range(14)}
+    edges = {(a, b) for a in labels for b in labels if a < b and rng.random() < 0.2}
+    g = view(spark, labels, edges)
+    cand = {(u, v) for u, x in enumerate(q.labels) for v, y in labels.items() if x == y}
+    joined = lambda a, b: (min(a, b), max(a, b)) in edges
+    while True:
+        left = {(u, v) for u, v in cand if all(any(w == x and joined(v, y) for x, y in cand) for w in q.neighbours(u))}
+        if left == cand:
+            break
+        cand = left
+    assert {tuple(r) for r in candidates.by_bridge_support(g, q, candidates.by_label(g, q)).collect()} == cand
