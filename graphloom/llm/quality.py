@@ -91,29 +91,36 @@ def base_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     stop = np.minimum(np.append(breaks, len(buf))[np.searchsorted(breaks, cut)], offs[row + 1])
     with_word = np.searchsorted(starts, stop) > np.searchsorted(starts, cut)
     cut, stop, row = cut[with_word], stop[with_word], row[with_word]
-    out["n_dup_lines"] = np.bincount(row, minlength=len(n_words)) - np.bincount(_distinct_rows(row, hashes.spans(cut, stop)), minlength=len(n_words))
+    line = hashes.exact_ids(cut, stop)
+    out["n_dup_lines"] = np.bincount(row, minlength=len(n_words)) - np.bincount(_distinct_rows(row, line), minlength=len(n_words))
     # Windows of three words within a row; those found twice or more mark their words.
-    h = hashes.spans(starts, ends)
+    word = hashes.exact_ids(starts, ends)
     row = np.repeat(np.arange(len(n_words)), n_words)
-    marked = np.zeros(len(h) + 1, np.int64)
-    if len(h) >= 3:
+    marked = np.zeros(len(word) + 1, np.int64)
+    if len(word) >= 3:
         at = np.flatnonzero(row[:-2] == row[2:])
-        w = textops.mix(h[at] * np.uint64(3) + textops.mix(h[at + 1] + np.uint64(0x9E37)) * np.uint64(5) + textops.mix(h[at + 2] ^ np.uint64(0xABCDEF)) * np.uint64(7) + textops.mix(row[at].astype(np.uint64)))
-        order = np.argsort(w)
-        first, size = textops.runs(w[order])
+        distinct = int(word.max()) + 1
+        pair = word[at] * distinct + word[at + 1]
+        if distinct >= 1 << 21:  # three numbers would not fit into 63 bits
+            pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        window = pair * distinct + word[at + 2]
+        order = np.argsort(window, kind="stable")  # equal windows stay in the order of their rows
+        x, r = window[order], row[at[order]]
+        first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (r[1:] != r[:-1])))) if len(x) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(x)))
         again = at[order[np.repeat(size > 1, size)]]
         np.add.at(marked, again, 1)
-        np.add.at(marked, np.minimum(again + 3, len(h)), -1)
-    out["n_repeat_words"] = textops.row_sums(np.cumsum(marked[:-1]) > 0, before) if len(h) else np.zeros(len(n_words), np.int64)
+        np.add.at(marked, np.minimum(again + 3, len(word)), -1)
+    out["n_repeat_words"] = textops.row_sums(np.cumsum(marked[:-1]) > 0, before) if len(word) else np.zeros(len(n_words), np.int64)
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def _distinct_rows(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The row of each distinct (row, hash)."""
+def _distinct_rows(row: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The row of each distinct (row, number)."""
     if not len(row):
         return row
-    order = np.lexsort((h, row))
-    r, x = row[order], h[order]
+    order = np.lexsort((of, row))
+    r, x = row[order], of[order]
     return r[np.concatenate(([True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])))]
 
 

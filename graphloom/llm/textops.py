@@ -5,6 +5,7 @@ offsets of the rows; a row is never split, so that a slice is larger than asked
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,29 +37,13 @@ def claim(name: str) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):
             pass  # another C library keeps freed memory its own way
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers of ``base`` modulo 2**64, kept for the next slice."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(np.full(size - 1, base, np.uint64), out=have[1:])
-        _powers[base] = have
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every bit of the result depends on every bit of ``h``."""
     h = h ^ (h >> np.uint64(33))
@@ -95,16 +80,70 @@ def row_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
+#: For 0 to 8 bytes left in a span, the bits of a word that belong to it.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes from which a span is hashed by itself.
+LONG_SPAN = 512
+
+
 class Hashes:
-    """Hashes of any spans of a slice, from one prefix sum over its bytes."""
+    """64-bit hashes of any spans of a slice, eight bytes of all spans at a time, each mixed in before the next.
+
+    The mixing is not linear, so no pattern of bytes makes two spans alike but by chance; what must be exact
+    is confirmed by ``equal_spans``.
+    """
 
     def __init__(self, buf: np.ndarray):
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTES[buf] * _power(_BASE, len(buf) + 1)[:-1], out=self.sums[1:])
+        self.buf = buf
+        self._padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+        self.words = np.ndarray((len(buf) + 1,), np.dtype("<u8"), self._padded, 0, (1,))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * _power(_INVERSE, len(self.sums))[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+        size = ends - starts
+        h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+        if not len(size):
+            return h
+        for i in np.flatnonzero(size >= LONG_SPAN).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        every = size < LONG_SPAN
+        todo = np.flatnonzero(every & (size > 0))
+        at, left = starts[todo], size[todo]
+        while len(todo):
+            x = self.words[at] & _MASKS[np.minimum(left, 8)]
+            h[todo] = mix(h[todo] ^ x)
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        return h
+
+    def equal_spans(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes from ``a`` on and from ``b`` on are equal over ``size`` bytes."""
+        same = np.ones(len(size), bool)
+        for i in np.flatnonzero(size >= LONG_SPAN).tolist():
+            same[i] = np.array_equal(self.buf[a[i] : a[i] + size[i]], self.buf[b[i] : b[i] + size[i]])
+        todo = np.flatnonzero((size < LONG_SPAN) & (size > 0))
+        x, y, left = a[todo], b[todo], size[todo]
+        while len(todo):
+            differ = ((self.words[x] ^ self.words[y]) & _MASKS[np.minimum(left, 8)]) != 0
+            same[todo[differ]] = False
+            more = ~differ & (left > 8)
+            todo, x, y, left = todo[more], x[more] + 8, y[more] + 8, left[more] - 8
+        return same
+
+    def exact_ids(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A number per span, equal for spans of equal bytes and for no others: by hash, confirmed on the bytes."""
+        h = self.spans(starts, ends)
+        order = np.argsort(h, kind="stable")
+        first, size = runs(h[order])
+        ids = np.empty(len(h), np.int64)
+        ids[order] = np.repeat(np.arange(len(first)), size)
+        head = order[first][ids]
+        other = np.flatnonzero(head != np.arange(len(h)))
+        n = ends - starts
+        alike = (n[other] == n[head[other]]) & self.equal_spans(starts[other], starts[head[other]], np.minimum(n[other], n[head[other]]))
+        if not alike.all():  # two spans share a hash by chance: number them by their bytes
+            seen: dict[bytes, int] = {}
+            ids = np.array([seen.setdefault(self.buf[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        return ids
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

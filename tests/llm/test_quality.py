@@ -153,3 +153,20 @@ def test_letter_salad_of_another_script_is_rejected(spark):
         rows.append((901, " ".join("".join(rng.choice(salad[c]) for c in rng.choice(words)) for _ in range(120)), "x"))
         got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
         assert all(got[i].kept for i in range(80)) and not got[900].kept and not got[901].kept
+
+
+def test_lines_alike_to_a_linear_hash():
+    w = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    buf = np.frombuffer(f"{w}\n{w.translate(str.maketrans('ab', 'ba'))}\n{w}\n{'x' * 600}\n{'x' * 599}y\n{'x' * 600}".encode(), np.uint8)
+    got = quality.base_counts(buf, np.array([0, len(buf)]))
+    assert got["n_dup_lines"].tolist() == [2] and got["n_words"].tolist() == [6]
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    """Numbers of words follow their bytes even if every hash is the same."""
+    rng = random.Random(1)
+    t = " ".join(rng.choice(["a", "b", "cc", "dd", "long word here", "x" * 600, "x" * 601]) for _ in range(300)) + "\nline\nline\nother"
+    buf = np.frombuffer(t.encode(), np.uint8)
+    want = {k: v.tolist() for k, v in quality.base_counts(buf, np.array([0, len(buf)])).items()}
+    monkeypatch.setattr(quality.textops.Hashes, "spans", lambda self, a, b: np.zeros(len(a), np.uint64))
+    assert {k: v.tolist() for k, v in quality.base_counts(buf, np.array([0, len(buf)])).items()} == want
