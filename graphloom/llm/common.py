@@ -1,13 +1,14 @@
-"""Shared plumbing: shipping the package, shared scratch tables, size-checked broadcasts."""
+"""Shared plumbing: shipping the package, size-checked broadcasts; scratch tables come from ``graphloom.shared``."""
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_shared, scratch_path, write_shared  # noqa: F401  (operators take these from here)
+
 ROOT = Path(__file__).resolve().parents[2]
 #: Rows up to which a narrow side (keys and a few numbers) is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -41,31 +42,6 @@ def ship(spark: SparkSession) -> None:
     sc._graphloom_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; our own one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark.sparkContext, "_graphloom_shared", None)
-        if not at:
-            at = spark.sparkContext._graphloom_shared = f"file:/tmp/checkpoints/{uuid.uuid4().hex}"
-    return at.rstrip("/")
-
-
-def write_shared(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
-    path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_shared(spark: SparkSession, *paths: str) -> None:
-    """Remove scratch tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side whose row count was measured and lies within the bound; else leave it to a shuffle join."""
     return F.broadcast(df) if rows <= limit else df

@@ -1,12 +1,13 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Every text gives the set of its word shingles (64-bit hashes), a MinHash signature (of which a byte per hash is
-   kept) and ``BANDS`` band keys.  Equal sets are one class, represented by the least id; only representatives go on.
-2. Representatives that share a band key form a bucket.  A bucket is not expanded into all
-   pairs: its members are compared with the bucket's least id.  Equal candidate pairs of several bands are one.
+   kept) and ``BANDS`` band keys.  Texts of equal word sequences (by a 128-bit cryptographic digest) are one class;
+   one row stands for a class, and only classes go on.  Classes, not ids, are the nodes, so ids may repeat.
+2. Classes that share a band key form a bucket.  A bucket is not expanded into all
+   pairs: its members are compared with the bucket's least class.  Equal candidate pairs of several bands are one.
 3. A candidate pair's signatures are compared in batches.  With a uniform prior the similarity after
    ``n`` hashes with ``m`` matches has a beta posterior; the pair is pruned when its chance of
-   reaching the threshold falls under ``MISS``.  Survivors are verified on the full sets.
+   reaching the threshold falls under ``MISS``, which all looks share.  Survivors are verified on the full sets.
 4. Links give components by alternating stars.  Buckets whose members are of one component are done.  The others are
    cut into blocks of about ``BLOCK_BYTES``, large components into blocks of their own; pairs of blocks are dealt
    out evenly and compared as arrays: members of different components that are not pruned are verified on their
@@ -14,12 +15,15 @@
 
 ``rows`` per band is the largest for which a pair at the threshold meets in no band with a chance under 1e-5.
 
-Defined cases: null or empty texts and texts without words have no shingles and are linked with nothing; a text
-with fewer words than a shingle is one shingle; rows of equal sets (copies, repeated rows) share one component
-however many; a null id takes part as a member but is never a representative unless alone; other columns are ignored.
+Defined cases: rows are the nodes: rows that repeat an id with other texts have each their own set and links; null or empty texts
+and texts without words have no shingles and are linked with nothing; a text
+with fewer words than a shingle is one shingle; rows of equal word sequences (copies, repeated rows) share one component
+however many; ids may be of any type that can be ordered; a null id is a member like any but never names a component
+that has another id: ``kept`` is ``doc_id <=> component_id``, so of a group of null ids alone all rows are kept; other columns are ignored.
 """
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -91,8 +95,27 @@ def signature(shingles: np.ndarray, times: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(buf: np.ndarray, offs: np.ndarray) -> list[bytes | None]:
+    """A digest of each row's word sequence, equal for rows that differ in case and white space only; None without words."""
+    low = textops.LOWER[buf]
+    word = ~textops.SPACE[buf]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # one space behind a word
+    first = offs[:-1][offs[:-1] < offs[1:]]
+    keep[first] = word[first]
+    at = np.concatenate(([0], np.cumsum(keep)))[offs].tolist()
+    data = np.where(word, low, np.uint8(32))[keep].tobytes()
+    rows = (data[a:b].rstrip(b" ") for a, b in zip(at, at[1:], strict=False))
+    return [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in rows]
+
+
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``doc_id, t, text``: ``t`` finds a class's row again without its text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+
+
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n, h1, h2, bands, sig`` of every row of ``doc_id, text``."""
+    """``doc_id, t, n, cid, bands, sig`` of every row of ``doc_id, text``; ``cid`` names its class."""
     rows, banded = rule.rows, rule.rows * BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,43 +127,53 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
                 sets = shingle_sets(buf, offs, rule.words)
                 sig = np.array([signature(s, times) for s in sets]).reshape(j - i, HASHES)
                 n = np.array([len(s) for s in sets], np.int64)
-                h1 = np.array([textops.mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-                h2 = np.array([textops.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
                 keys = textops.mix((sig[:, :banded].reshape(-1, BANDS, rows).astype(np.uint64) * mixers).sum(axis=2) + salt)
-                bands = pa.ListArray.from_arrays(pa.array(np.where(n > 0, BANDS, 0).cumsum() - np.where(n > 0, BANDS, 0), pa.int32()).cast(pa.int32()).to_pylist() + [int((n > 0).sum()) * BANDS], pa.array(keys[n > 0].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands, pa.array([x.tobytes() for x in (sig >> np.uint32(24)).astype(np.uint8)], pa.binary())], ["doc_id", "n", "h1", "h2", "bands", "sig"])
+                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[n > 0].view(np.int64).ravel()))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(digests(buf, offs), pa.binary()), bands, pa.array([x.tobytes() for x in stored(sig)], pa.binary())], ["doc_id", "t", "n", "cid", "bands", "sig"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, bands array<long>, sig binary")
+    return _with_row(docs).mapInArrow(run, f"doc_id {kind}, t long, n long, cid binary, bands array<long>, sig binary")
+
+
+def stored(sig: np.ndarray) -> np.ndarray:
+    """The byte kept of each hash: least hashes are small numbers, so it is taken from a product that mixes all bits."""
+    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
-def least_matches(n: int, least: float) -> int:
-    """The fewest matches among ``n`` hashes that leave a chance of ``MISS`` to reach the similarity ``least``.
+def least_matches(n: int, least: float, miss: float = MISS) -> int:
+    """The fewest matches among ``n`` stored bytes that leave a chance of ``miss`` to reach the similarity ``least``.
 
-    The posterior tail under a uniform prior is the chance of at most ``m`` successes in ``n + 1`` draws at ``least``.
+    Bytes of different hashes agree once in 256 times.  The posterior tail under a uniform prior is the chance of at
+    most ``m`` successes in ``n + 1`` draws.
     """
-    total = 0.0
+    p, total = least + (1 - least) / 256, 0.0
     for m in range(n + 1):
-        total += math.comb(n + 1, m) * least**m * (1 - least) ** (n + 1 - m)
-        if total >= MISS:
+        total += math.comb(n + 1, m) * p**m * (1 - p) ** (n + 1 - m)
+        if total >= miss:
             return m
     return n
 
 
-def _same(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``, one of each."""
-    return docs.join(common.broadcast_if(ids, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _rows_of(frame: DataFrame, reps: DataFrame, n: int, *also: str) -> DataFrame:
+    """The rows of ``frame`` that stand for the ``n`` classes ``reps`` (``cid, doc_id, t``)."""
+    of = reps.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), *[F.col(c).alias(f"__{c}") for c in also])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))
+    for c in also:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return frame.join(common.broadcast_if(of, n), same, "left_semi")
 
 
 def _pair_up(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    one = values.select(F.col("doc_id").alias("b"), F.col(column).alias("vb"))
-    two = values.select(F.col("doc_id").alias("a"), F.col(column).alias("va"))
+    one = values.select(F.col("cid").alias("b"), F.col(column).alias("vb"))
+    two = values.select(F.col("cid").alias("a"), F.col(column).alias("va"))
     return pairs.join(one, "b").join(two, "a")
 
 
 def _steps(rule: Rule) -> list[tuple[int, int]]:
-    """After how many hashes how many matches keep a pair."""
-    return [(n, least_matches(n, rule.least)) for n in range(BATCH, HASHES + 1, BATCH)]
+    """After how many hashes how many matches keep a pair; the looks share ``MISS``."""
+    return [(n, least_matches(n, rule.least, MISS * BATCH / HASHES)) for n in range(BATCH, HASHES + 1, BATCH)]
 
 
 def pruned(sa: np.ndarray, sb: np.ndarray, x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
@@ -164,15 +197,15 @@ def _write_small_batches(spark: SparkSession, df: DataFrame, name: str, rows: in
         spark.conf.set(key, before)
 
 
-def _sets(rule: Rule):
-    """A function over Arrow batches of ``doc_id, text`` that gives ``doc_id, s``: the set as bytes."""
+def _sets(docs: DataFrame, reps: DataFrame, n: int, rule: Rule) -> DataFrame:
+    """``cid, s``: the sets, as bytes, of the ``n`` classes ``reps``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, offs in textops.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(buf, offs, rule.words)], pa.binary())], ["doc_id", "s"])
+            for _, _, buf, offs in textops.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(digests(buf, offs), pa.binary()), pa.array([s.tobytes() for s in shingle_sets(buf, offs, rule.words)], pa.binary())], ["cid", "s"])
 
-    return sets
+    return _rows_of(_with_row(docs), reps, n).select("text").mapInArrow(sets, "cid binary, s binary").dropDuplicates(["cid"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -182,17 +215,37 @@ def _linked(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
     return 100 * inter >= rule.percent * (len(both) - inter)
 
 
-def verify(spark: SparkSession, pairs: DataFrame, feats: DataFrame, docs: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
-    """The linked ones of candidate pairs ``a, b``."""
+class Run:
+    """One job's tables: rows, classes and scratch."""
+
+    def __init__(self, docs: DataFrame, rule: Rule):
+        self.spark, self.rule, self.steps = docs.sparkSession, rule, _steps(rule)
+        self.docs, self.scratch = docs.select("doc_id", "text"), []
+        self.feats = self.keep(features(self.docs, rule), "features")
+        first = F.min(F.struct("doc_id", "t")).alias("r")
+        reps = self.feats.where("n > 0").groupBy("cid").agg(first, F.min("doc_id").alias("low"), F.min("n").alias("n"))
+        #: One row a class: the row that stands for it, and its least id.
+        self.reps = self.keep(reps.select("cid", "r.doc_id", "r.t", "low", "n"), "classes")
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        out, path = common.write_shared(spark, df, name)
-        scratch.append(path)
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = common.write_shared(self.spark, df, name)
+        self.scratch.append(path)
         return out
 
-    kind, steps = dict(pairs.dtypes)["a"], _steps(rule)
-    pairs = keep(pairs, "pairs")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    def some(self, ids: DataFrame) -> tuple[DataFrame, int]:
+        """The rows that stand for the classes ``ids``, and how many they are."""
+        out = self.keep(self.reps.join(common.broadcast_if(ids, ids.count()), "cid", "left_semi").select("cid", "doc_id", "t"), "ids")
+        return out, out.count()
+
+    def values(self, reps: DataFrame, n: int, *columns: str) -> DataFrame:
+        return _rows_of(self.feats.select("cid", "doc_id", "t", *columns), reps, n, "cid").dropDuplicates(["cid"]).select("cid", *columns)
+
+
+def verify(run: Run, pairs: DataFrame) -> DataFrame:
+    """The linked ones of candidate pairs ``a, b``."""
+    steps, rule = run.steps, run.rule
+    pairs = run.keep(pairs, "pairs")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +254,9 @@ def verify(spark: SparkSession, pairs: DataFrame, feats: DataFrame, docs: DataFr
             at = pa.array(pruned(va, vb, every, every, steps))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    ids = keep(ends(pairs), "ids")
-    sigs = keep(_same(feats.select("doc_id", "sig"), ids, ids.count()), "sigs")
-    pairs = keep(_pair_up(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(prune, f"a {kind}, b {kind}"), "pruned")
-    ids = keep(ends(pairs), "ids")
-
-    shingled = keep(_same(docs.select("doc_id", "text"), ids, ids.count()).mapInArrow(_sets(rule), f"doc_id {kind}, s binary"), "sets")
+    sigs = run.keep(run.values(*run.some(ends(pairs)), "sig"), "sigs")
+    pairs = run.keep(_pair_up(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(prune, "a binary, b binary"), "pruned")
+    shingled = run.keep(_sets(run.docs, *run.some(ends(pairs)), rule), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,38 +267,30 @@ def verify(spark: SparkSession, pairs: DataFrame, feats: DataFrame, docs: DataFr
             at = pa.array(linked, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    out, path = _write_small_batches(spark, _pair_up(pairs, shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, f"a {kind}, b {kind}"), "linked", 32)
-    scratch.append(path)
+    out, path = _write_small_batches(run.spark, _pair_up(pairs, shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, "a binary, b binary"), "linked", 32)
+    run.scratch.append(path)
     return out
 
 
-def linked_across(spark: SparkSession, members: DataFrame, feats: DataFrame, docs: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
+def linked_across(run: Run, members: DataFrame) -> DataFrame:
     """``a, b``: linked members of one bucket and different components.
 
-    ``members``: ``key, rep, n, c`` of buckets that hold several components.  Blocks hold signatures, band keys and sets, so
+    ``members``: ``key, cid, n, c`` of buckets that hold several components.  Blocks hold signatures, band keys and sets, so
     that only links leave a task; a pair is compared in the first of the buckets that it shares.
     """
-    kind, steps = dict(members.dtypes)["rep"], _steps(rule)
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        out, path = common.write_shared(spark, df, name)
-        scratch.append(path)
-        return out
-
+    steps, rule = run.steps, run.rule
     weight = F.sum(F.col("n") * 8 + HASHES + 8 * BANDS)
     sizes = members.groupBy("key", "c").agg(weight.alias("size"))
     grouped = members.join(sizes, ["key", "c"]).withColumn("g", F.when(F.col("size") >= BLOCK_BYTES // 4, F.col("c")))
     blocks = grouped.groupBy("key", "g").agg(F.ceil(weight / BLOCK_BYTES).alias("blocks"))
     dealt = grouped.join(blocks.withColumnRenamed("g", "g0").withColumnRenamed("key", "k0"), (F.col("key") == F.col("k0")) & F.col("g").eqNullSafe(F.col("g0")))
-    dealt = dealt.select("key", F.struct(F.col("g").isNotNull().alias("pure"), F.coalesce("g", F.lit(0)).alias("g"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("sub")).alias("id"), F.col("rep").alias("doc_id"), "c")
-    dealt = keep(dealt, "dealt")
-    ids = keep(dealt.select("doc_id").distinct(), "ids")
-    n = ids.count()
-    shingled = _same(docs.select("doc_id", "text"), ids, n).mapInArrow(_sets(rule), f"doc_id {kind}, s binary")
-    values = keep(_same(feats.select("doc_id", "sig", "bands"), ids, n).join(shingled, "doc_id"), "values")
+    block = F.struct(F.col("g").isNotNull().alias("pure"), F.coalesce("g", F.lit(b"")).alias("g"), F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("sub"))
+    dealt = run.keep(dealt.select("key", block.alias("id"), "cid", "c"), "dealt")
+    reps, n = run.some(dealt.select("cid").distinct())
+    values = run.keep(run.values(reps, n, "sig", "bands").join(_sets(run.docs, reps, n, rule), "cid"), "values")
     # A block is bounded in bytes: its members were dealt by a hash into as many blocks as they need.
-    packed = dealt.join(values, "doc_id").groupBy("key", "id").agg(F.collect_list(F.struct("doc_id", "c", "sig", "bands", "s")).alias("block"))
-    packed = keep(packed, "blocks")
+    packed = dealt.join(values, "cid").groupBy("key", "id").agg(F.collect_list(F.struct("c", "sig", "bands", "s", "cid")).alias("block"))
+    packed = run.keep(packed, "blocks")
     one, two = (packed.select("key", F.col("id").alias(f"id{k}")) for k in (1, 2))
     differ = (F.col("id1.pure") != F.col("id2.pure")) | (F.col("id1.g") != F.col("id2.g")) | ~F.col("id1.pure")
     both = one.join(two, "key").where((F.col("id1") <= F.col("id2")) & differ).select("key", "id1", "id2")
@@ -256,19 +298,20 @@ def linked_across(spark: SparkSession, members: DataFrame, feats: DataFrame, doc
         both = both.join(packed.select("key", F.col("id").alias(f"id{k}"), F.col("block").alias(f"block{k}")), ["key", f"id{k}"])
 
     def fields(x: pa.Array) -> tuple:
-        number = lambda k: x.field(k).to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(x.field(2).to_pylist()), np.uint8).reshape(-1, HASHES)
-        bands = x.field(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-        return number(0), number(1), sig, bands, [np.frombuffer(s.as_buffer(), np.uint64) for s in x.field(4)]
+        halves = lambda k: np.frombuffer(b"".join(x.field(k).to_pylist()), np.uint64).reshape(-1, 2)
+        sig = np.frombuffer(b"".join(x.field(1).to_pylist()), np.uint8).reshape(-1, HASHES)
+        bands = x.field(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        return halves(0), sig, bands, [np.frombuffer(s.as_buffer(), np.uint64) for s in x.field(3)], x.field(4)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py()
-                (ra, ca, sa, ba, ta), (rb, cb, sb, bb, tb) = (fields(batch.column(k)[i].values) for k in (1, 2))
+                key, same = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
+                (ca, sa, ba, ta, ra), (cb, sb, bb, tb, rb) = (fields(batch.column(k)[i].values) for k in (1, 2))
                 na, nb = (np.array([len(x) for x in t]) for t in (ta, tb))
                 band = int(np.flatnonzero(ba[0] == key)[0])  # a key holds its band
-                x, y = np.nonzero((ca[:, None] != cb) & (na[:, None] * rule.percent <= nb * 100) & (nb * rule.percent <= na[:, None] * 100) & ((ra[:, None] < rb) | (batch.column(3)[i].as_py() != batch.column(4)[i].as_py())))
+                apart = (ca[:, None] != cb).any(axis=2) & (na[:, None] * rule.percent <= nb * 100) & (nb * rule.percent <= na[:, None] * 100)
+                x, y = np.nonzero(np.triu(apart, 1) if same else apart)
                 out_a, out_b = [], []
                 for k in range(0, len(x), 16_384):
                     xk, yk = x[k : k + 16_384], y[k : k + 16_384]
@@ -276,55 +319,56 @@ def linked_across(spark: SparkSession, members: DataFrame, feats: DataFrame, doc
                     xk, yk = xk[new], yk[new]
                     for j in pruned(sa, sb, xk, yk, steps).tolist():
                         if _linked(ta[xk[j]], tb[yk[j]], rule):
-                            out_a.append(ra[xk[j]])
-                            out_b.append(rb[yk[j]])
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, batch_type), pa.array(out_b, batch_type)], ["a", "b"])
+                            out_a.append(ra[int(xk[j])].as_py())
+                            out_b.append(rb[int(yk[j])].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
-    batch_type = pa.int32() if kind == "int" else pa.int64()
-    found, path = _write_small_batches(spark, both.select("key", "block1", "block2", "id1", "id2").mapInArrow(compare, f"a {kind}, b {kind}"), "across")
-    scratch.append(path)
+    rows = both.select("key", "block1", "block2", (F.col("id1") == F.col("id2")).alias("same"))
+    found, path = _write_small_batches(run.spark, rows.mapInArrow(compare, "a binary, b binary"), "across")
+    run.scratch.append(path)
     return found
 
 
-def links(spark: SparkSession, docs: DataFrame, feats: DataFrame, reps: DataFrame, rule: Rule, scratch: list[str]) -> DataFrame:
-    """``u, v``: each linked representative but a component's least, with that least."""
-    only = feats.join(common.broadcast_if(reps.select(F.col("rep").alias("doc_id")), reps.count()), "doc_id", "left_semi")
-    members = only.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), "n")
+def links(run: Run) -> DataFrame:
+    """``u, v``: each linked class but a component's least, with that least."""
+    spark, percent = run.spark, run.rule.percent
+    only = _rows_of(run.feats.select("cid", "doc_id", "t", "n", "bands"), run.reps, run.reps.count(), "cid")
+    members = only.select(F.explode("bands").alias("key"), "cid", "n")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    rest, path = common.write_shared(spark, members.join(shared, "key").distinct(), "buckets")
-    scratch.append(path)
-    heads = rest.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", F.col("head.rep").alias("a"), F.col("head.n").alias("na"))
-    fits = (F.col("na") * rule.percent <= F.col("n") * 100) & (F.col("n") * rule.percent <= F.col("na") * 100)
-    spokes = rest.join(heads, "key").where((F.col("rep") != F.col("a")) & fits).select("a", F.col("rep").alias("b")).distinct()
-    known = verify(spark, spokes, feats, docs, rule, scratch)
+    rest = run.keep(members.join(shared, "key").distinct(), "buckets")
+    heads = rest.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("head")).select("key", F.col("head.cid").alias("a"), F.col("head.n").alias("na"))
+    fits = (F.col("na") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("na") * 100)
+    spokes = rest.join(heads, "key").where((F.col("cid") != F.col("a")) & fits).select("a", F.col("cid").alias("b")).distinct()
+    known = verify(run, spokes)
     ends = [F.col("a").alias("u"), F.col("b").alias("v")]
     comp = components(spark, known.select(*ends))
-    named = rest.join(comp.withColumnRenamed("u", "rep").withColumnRenamed("v", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    named = rest.join(comp.withColumnRenamed("u", "cid").withColumnRenamed("v", "c"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     # Heads have been compared with all of their bucket.
-    named = named.join(heads, "key").where(F.col("rep") != F.col("a")).select("key", "rep", "n", "c")
+    named = named.join(heads, "key").where(F.col("cid") != F.col("a")).select("key", "cid", "n", "c")
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    named, path = common.write_shared(spark, named.join(mixed, "key"), "open")
-    scratch.append(path)
+    named = run.keep(named.join(mixed, "key"), "open")
     if not named.take(1):
         return comp
-    more = linked_across(spark, named, feats, docs, rule, scratch)
-    return components(spark, known.unionByName(more).select(*ends))
-
-
-def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``doc_id, text``."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    scratch: list[str] = []
-    feats, _ = common.write_shared(spark, features(docs, rule), "features")
-    reps = feats.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps, _ = common.write_shared(spark, reps, "classes")
-    comp = links(spark, docs, feats, reps.where("rep is not null"), rule, scratch)
-    named = reps.join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("h1", "h2", F.coalesce("v", "rep").alias("root"))
-    rows = feats.select("doc_id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), F.when(F.col("n") > 0, F.col("h2")).alias("h2"))
-    common.drop_shared(spark, *scratch)
-    out = rows.join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return components(spark, known.unionByName(linked_across(run, named)).select(*ends))
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = Rule(), keys: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``doc_id, text``; with ``keys`` also ``cid, root, t``.
+
+    ``root`` names the component (null without shingles) and ``t`` is the row's ``xxhash64("text")``.
+    """
+    run = Run(docs, rule)
+    comp = run.keep(links(run), "components")
+    named = run.reps.select("cid", "low").join(comp.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    grouped = named.join(common.broadcast_if(comp.select(F.col("v").alias("root")).distinct(), comp.count()), "root", "left_semi")
+    least = run.keep(grouped.groupBy("root").agg(F.min("low").alias("least")), "least")
+    named = named.join(common.broadcast_if(least, least.count()), "root", "left").select("cid", "root", F.coalesce("least", "low").alias("component_id"), F.lit(True).alias("some"))
+    named, _ = common.write_shared(run.spark, named, "named")
+    rows, _ = common.write_shared(run.spark, run.feats.select("doc_id", F.col("n").alias("n_shingles"), "cid", "t"), "rows")
+    common.drop_shared(run.spark, *run.scratch)
+    out = rows.join(named, "cid", "left").withColumn("component_id", F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(["cid", "root", "t"] if keys else []))
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
