@@ -158,7 +158,7 @@ def test_letter_salad_of_another_script_is_rejected(spark):
 def test_lines_alike_to_a_linear_hash():
     w = "".join("ab"[i.bit_count() & 1] for i in range(1024))
     buf = np.frombuffer(f"{w}\n{w.translate(str.maketrans('ab', 'ba'))}\n{w}\n{'x' * 600}\n{'x' * 599}y\n{'x' * 600}".encode(), np.uint8)
-    got = quality.base_counts(buf, np.array([0, len(buf)]))
+    got = Q.base_counts(buf, np.array([0, len(buf)]))
     assert got["n_dup_lines"].tolist() == [2] and got["n_words"].tolist() == [6]
 
 
@@ -167,6 +167,6 @@ def test_words_that_share_a_hash(monkeypatch):
     rng = random.Random(1)
     t = " ".join(rng.choice(["a", "b", "cc", "dd", "long word here", "x" * 600, "x" * 601]) for _ in range(300)) + "\nline\nline\nother"
     buf = np.frombuffer(t.encode(), np.uint8)
-    want = {k: v.tolist() for k, v in quality.base_counts(buf, np.array([0, len(buf)])).items()}
-    monkeypatch.setattr(quality.textops.Hashes, "spans", lambda self, a, b: np.zeros(len(a), np.uint64))
-    assert {k: v.tolist() for k, v in quality.base_counts(buf, np.array([0, len(buf)])).items()} == want
+    want = {k: v.tolist() for k, v in Q.base_counts(buf, np.array([0, len(buf)])).items()}
+    monkeypatch.setattr(Q.textops.Hashes, "spans", lambda self, a, b: np.zeros(len(a), np.uint64))
+    assert {k: v.tolist() for k, v in Q.base_counts(buf, np.array([0, len(buf)])).items()} == want

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from graphloom.llm import secret_scan as S
@@ -53,3 +54,23 @@ def test_redact(spark):
         out = got[i, 1]
         assert (out is None) == (t is None) and (out or "").replace("[REDACTED]", "") == kept
     assert S.scan_report(documents(spark, [])).count() == 0
+
+
+def test_long_candidates_and_many_hits(spark):
+    """A candidate of 200,000 characters and a text of 50,000 hits cost in proportion to their length."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    low = "ab1" * 300
+    blob = low + "".join(rng.choices(letters, k=200_000)) + low
+    one = "é token = 0123456789 "
+    rows = [(1, blob), (2, one * 50_000), (3, f"{'x' * 7} {blob[:9_000]} é {blob[-9_000:]}")]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in S.scan_report(documents(spark, rows)).collect()}
+    assert time.monotonic() - began < 100
+    assert got[2].n_assign == 50_000 and got[2].spans.endswith(f"assign:{len(one) * 49_999 + 2}:{len(one) * 50_000 - 1}")
+    for i in (1, 3):
+        assert got[i].spans == brute(dict(rows)[i])[2] != ""
+    began = time.monotonic()
+    clean = {r.doc_id: r.text for r in S.redact(documents(spark, rows)).collect()}
+    assert time.monotonic() - began < 100
+    assert clean[2] == "é [REDACTED] " * 50_000 and len(clean[1]) < 2_000
