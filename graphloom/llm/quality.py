@@ -2,10 +2,12 @@
 
 Characters fall into ``A`` classes: letters without case, a digit, white space and kinds of punctuation of ASCII, and
 beyond ASCII one class a code point up to U+D733 (nearly all scripts); those above share classes with these.
-Spark counts the 4-grams over all rows (tasks sum before the shuffle), and one interpolated
-modified Kneser-Ney model is made per language: lower orders from continuation counts, three discounts per
-order from the counts of counts.  A model is stored as arrays of hashes (the packed grams) in ascending order beside
-log-probabilities, one pair per order; a text's 4-grams are looked up there (a worker puts the highest order into a hash table) and back off by binary search if missing.
+Spark counts the 4-grams over all rows (tasks sum before the shuffle) and makes one interpolated modified Kneser-Ney
+model per language by aggregations and joins on grams and contexts, no language meeting in a task: lower orders from
+continuation counts, three discounts per order from the counts of counts.  Models of up to ``MODEL_ROWS`` rows are stored
+as arrays of hashes (the packed grams) in ascending order beside
+log-probabilities, one pair per order; a text's 4-grams are looked up there (a worker puts the highest order into a hash
+table) and back off by binary search if missing.  Beyond that the texts' grams are joined with the model's tables.
 
 The bands: the median of the mean log-probability of all rows of a language, and ``BAND`` times a
 robust deviation to either side.  A row that is too hard is scored again in pieces (lines, long ones cut), each by the
@@ -19,9 +21,9 @@ and pass the bands; repeated rows count as often as they occur; an empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +39,9 @@ BAND = (8.0, 8.0)
 CORPUS_BAND = (8.0, 40.0)
 SYMBOLS = b"#*$%&|<>"
 HELD_GRAMS = 2_000_000
+#: Grams and contexts of all models up to which they go to the driver and are broadcast (16 bytes each); beyond it texts
+#: meet them in a shuffle.
+MODEL_ROWS = 8_000_000
 #: 4-grams of a piece at most.
 PIECE = 128
 #: Models of which a worker keeps the hash table, and the bits of its slots at most (12 MB each).
@@ -172,34 +177,76 @@ def count_grams(docs: DataFrame, known: list[str]) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """The modified Kneser-Ney discount of each count."""
-    t = [max(int((n == k).sum()), 1) for k in (1, 2, 3, 4)]
+def _discounts(t: list[int]) -> list[float]:
+    """The modified Kneser-Ney discounts of the counts 1, 2 and 3 or more, from how many grams have the counts 1 to 4."""
+    t = [max(x, 1) for x in t]
     y = t[0] / (t[0] + 2 * t[1])
-    d = [0.0, *(min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
-    return np.array(d)[np.minimum(n, 3)]
-
-
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 1: sorted grams, their log-probabilities, sorted contexts, their log back-off weights."""
-    order = np.argsort(gram)
-    counts = [(gram[order].astype(np.int64), n[order].astype(np.int64))]
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before a gram
-        suffix = np.sort(counts[0][0] % A**k)
-        at, times = textops.runs(suffix)
-        counts.insert(0, (suffix[at], times))
-    model, lower = [], None
-    for k, (keys, c) in enumerate(counts, 1):
-        left = c - _discounts(c)
-        context = keys // A
-        at, _ = textops.runs(context)
-        total = np.add.reduceat(c, at).astype(float)
-        gamma = 1 - np.add.reduceat(left, at) / total
-        of = np.searchsorted(context[at], context)
-        below = np.full(len(keys), 1.0 / A) if k == 1 else lower[np.searchsorted(model[-1][0], keys % A ** (k - 1))]
-        lower = left / total[of] + gamma[of] * below
-        model.append((keys, np.log(lower).astype(np.float32), context[at], np.log(np.maximum(gamma, 1e-12)).astype(np.float32)))
-    return model
+    return [min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+
+class Tables:
+    """The models of all languages as tables: ``grams[k]`` with ``lang, g, p`` and ``contexts[k]`` with ``lang, c, w``."""
+
+    def __init__(self, docs: DataFrame, known: list[str]):
+        self.spark, self.scratch = docs.sparkSession, []
+        self.grams: dict[int, DataFrame] = {}
+        self.contexts: dict[int, DataFrame] = {}
+        self.rows = 0
+        counts = {ORDER: self.keep(count_grams(docs, known).select("lang", F.col("gram").alias("g"), "n"))}
+        for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before a gram
+            counts[k] = self.keep(counts[k + 1].groupBy("lang", (F.col("g") % A**k).alias("g")).agg(F.count(F.lit(1)).alias("n")))
+        found: dict[tuple[int, int], list[int]] = {}
+        few = reduce(DataFrame.unionByName, [c.where("n <= 4").groupBy("lang", "n").agg(F.count(F.lit(1)).alias("t")).withColumn("k", F.lit(k)) for k, c in counts.items()])
+        for r in few.collect():  # four numbers a language and order
+            found.setdefault((r.k, r.lang), [0] * 4)[r.n - 1] = r.t
+        langs = range(len(known) + 1)
+        for k in range(1, ORDER + 1):
+            cut = self.spark.createDataFrame([(x, *_discounts(found.get((k, x), [0] * 4))) for x in langs], "lang int, d1 double, d2 double, d3 double")
+            rows = counts[k].withColumn("c", F.expr(f"g div {A}")).join(F.broadcast(cut), "lang")  # one row a language
+            d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+            times = [F.sum(F.when(x, 1).otherwise(0)) for x in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
+            first = lambda c: F.first(c)
+            gamma = (times[0] * first("d1") + times[1] * first("d2") + times[2] * first("d3")) / F.sum("n")
+            self.contexts[k] = self.keep(rows.groupBy("lang", "c").agg(F.sum("n").alias("total"), gamma.alias("w")))
+            rows = rows.join(self.contexts[k], ["lang", "c"])
+            if k == 1:
+                below = F.lit(1.0 / A)
+            else:
+                rows = rows.join(self.grams[k - 1].select("lang", F.col("g").alias("s"), F.col("p").alias("below")), (rows["lang"] == self.grams[k - 1]["lang"]) & (rows["g"] % A ** (k - 1) == F.col("s"))).drop(self.grams[k - 1]["lang"])
+                below = F.col("below")
+            self.grams[k] = self.keep(rows.select("lang", "g", ((F.col("n") - d) / F.col("total") + F.col("w") * below).alias("p")))
+            self.rows += self.grams[k].count() + self.contexts[k].count()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out, path = common.write_shared(self.spark, df, "grams")
+        self.scratch.append(path)
+        return out
+
+    def load(self) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+        """For each language and order from 1: sorted grams, their log-probabilities, sorted contexts, their log back-off weights."""
+        out: dict[int, list] = {}
+        for k in range(1, ORDER + 1):
+            g, c = self.grams[k].toPandas(), self.contexts[k].select("lang", "c", "w").toPandas()  # bounded by MODEL_ROWS
+            g, c = g.sort_values(["lang", "g"]), c.sort_values(["lang", "c"])
+            for x in sorted(set(g["lang"])):
+                mine, ctx = g[g["lang"] == x], c[c["lang"] == x]
+                out.setdefault(x, []).append((mine["g"].to_numpy(np.int64), np.log(mine["p"].to_numpy()).astype(np.float32), ctx["c"].to_numpy(np.int64), np.log(np.maximum(ctx["w"].to_numpy(), 1e-12)).astype(np.float32)))
+        return out
+
+    def scored(self, wanted: DataFrame) -> DataFrame:
+        """``lang, g, lp`` of every row of ``lang, g``, by joins: the log-probability, backed off where a gram is not there."""
+        rows = wanted.select("lang", "g", F.lit(None).cast("double").alias("lp"), F.lit(0.0).alias("back"))
+        for k in range(ORDER, 0, -1):
+            hit = self.grams[k].select(F.col("lang").alias("l"), F.col("g").alias("s"), F.log("p").cast("float").cast("double").alias("hit"))
+            rows = rows.join(hit, (F.col("lang") == F.col("l")) & (F.col("g") % A**k == F.col("s")), "left").drop("l", "s")
+            rows = rows.withColumn("lp", F.coalesce("lp", F.col("hit") + F.col("back"))).drop("hit")
+            step = self.contexts[k].select(F.col("lang").alias("l"), F.col("c").alias("s"), F.log(F.greatest("w", F.lit(1e-12))).cast("float").cast("double").alias("step"))
+            rows = rows.join(step, (F.col("lang") == F.col("l")) & (F.expr(f"(g % {A**k}) div {A}") == F.col("s")), "left").drop("l", "s")
+            rows = rows.withColumn("back", F.col("back") + F.coalesce("step", F.lit(0.0))).drop("step")
+        return rows.select("lang", "g", F.coalesce("lp", F.col("back") - float(np.log(A))).alias("lp"))
+
+    def drop(self) -> None:
+        common.drop_shared(self.spark, *self.scratch)
 
 
 def _shared(spark: SparkSession, models: dict[int, list]) -> dict[int, Broadcast]:
@@ -270,17 +317,11 @@ def _backed_off(model: list, packed: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, known: list[str]) -> dict[int, list]:
-    """The model of each language; each is made in one task from its distinct grams, which grow with a large alphabet."""
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = kneser_ney(pdf["gram"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame([(int(pdf["lang"].iloc[0]), k, *[x.tobytes() for x in part]) for k, part in enumerate(model)], columns=["lang", "k", "g", "p", "c", "w"])
-
-    rows = count_grams(docs, known).groupBy("lang").applyInPandas(make, "lang int, k int, g binary, p binary, c binary, w binary").collect()
-    out: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.k)):
-        out.setdefault(r.lang, []).append(tuple(np.frombuffer(x, t) for x, t in ((r.g, np.int64), (r.p, np.float32), (r.c, np.int64), (r.w, np.float32))))
-    return out
+    """The models of all languages, for corpora whose models are known to be small."""
+    tables = Tables(docs, known)
+    models = tables.load()
+    tables.drop()
+    return models
 
 
 MEASURES = "row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang_no int, mean_log_p double"
@@ -354,13 +395,57 @@ def best_fit(docs: DataFrame, models: dict[int, list]) -> DataFrame:
     return docs.select("row_key", "text").mapInArrow(run, "row_key long, best_mean double")
 
 
+def _row_grams(docs: DataFrame, known: list[str], pieces: bool) -> DataFrame:
+    """``row_key, lang, piece, g, n``: the grams of every row of ``row_key, lang, text``, counted within the row or piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.claim("quality")
+        for batch in batches:
+            langs, keys = _lang_rows(batch, known), batch.column(0).to_numpy(zero_copy_only=False)
+            for i, _, buf, offs in textops.slices(batch, "text"):
+                packed, row, _ = grams(buf, offs)
+                piece = _pieces(buf, offs) if pieces else row
+                order = np.lexsort((packed, piece))
+                packed, row, piece = packed[order], row[order], piece[order]
+                at = np.flatnonzero(np.concatenate(([True], (packed[1:] != packed[:-1]) | (piece[1:] != piece[:-1])))) if len(packed) else np.zeros(0, np.int64)
+                n = np.diff(np.append(at, len(packed)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i + row[at]]), pa.array(langs[i + row[at]].astype(np.int32)), pa.array(piece[at]), pa.array(packed[at]), pa.array(n)], ["row_key", "lang", "piece", "g", "n"])
+
+    return docs.select("row_key", "lang", "text").mapInArrow(run, "row_key long, lang int, piece long, g long, n long")
+
+
+def means_by_join(docs: DataFrame, tables: Tables, known: list[str]) -> DataFrame:
+    """``row_key, mean_log_p`` of every row, for models too large for a broadcast: grams meet the model in a shuffle."""
+    rows = _row_grams(docs.withColumn("row_key", _row_key(docs)), known, False)
+    p = tables.grams[ORDER].select("lang", "g", F.log("p").cast("float").cast("double").alias("lp"))  # holds every gram of every row
+    return rows.join(p, ["lang", "g"]).groupBy("row_key").agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("mean_log_p"))
+
+
+def best_fit_by_join(docs: DataFrame, tables: Tables, known: list[str]) -> DataFrame:
+    """As ``best_fit`` without a broadcast: the grams of these few rows are scored in every language."""
+    rows = _row_grams(docs.dropDuplicates(["row_key"]), known, True).drop("lang")
+    every = F.explode(F.array(*[F.lit(x) for x in range(len(known) + 1)])).alias("lang")
+    trained = tables.contexts[1].select("lang").distinct()  # languages with a model
+    wanted = rows.select("g").distinct().select("g", every).join(F.broadcast(trained), "lang", "left_semi")
+    fits = rows.join(tables.scored(wanted), "g").groupBy("row_key", "piece", "lang").agg(F.sum(F.col("n") * F.col("lp")).alias("lp"), F.sum("n").alias("n"))
+    best = fits.groupBy("row_key", "piece").agg(F.max("lp").alias("lp"), F.max("n").alias("n"))
+    return best.groupBy("row_key").agg((F.sum("lp") / F.sum("n")).alias("best_mean"))
+
+
 def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """Measures and verdict of every row of ``doc_id, lang, text``."""
+    """Measures and verdict of every row of ``doc_id, lang, text``; ``row_key`` is ``_row_key`` of the row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "lang", "text")
     known = languages(docs)
-    models = fit(docs, known)
-    measured, _ = common.write_shared(spark, measure(docs, models, known), "quality")
+    tables = Tables(docs, known)
+    models = tables.load() if tables.rows <= MODEL_ROWS else None
+    if models is None:
+        means, path = common.write_shared(spark, means_by_join(docs, tables, known), "means")
+        tables.scratch.append(path)
+        measured = measure(docs, {}, known).drop("mean_log_p").join(means, "row_key", "left")
+    else:
+        measured = measure(docs, models, known)
+    measured, _ = common.write_shared(spark, measured, "quality")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = measured.withColumn("base_failed", base_failed)
     q = F.percentile_approx("mean_log_p", [0.25, 0.5, 0.75], 10_000)
@@ -371,7 +456,8 @@ def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     rows = rows.join(F.broadcast(bands), "lang_no", "left")  # one band a language
     hard, _ = common.write_shared(spark, rows.where("not base_failed and mean_log_p < least").select("row_key").distinct(), "hard")
     again = docs.withColumn("row_key", _row_key(docs)).join(common.broadcast_if(hard, hard.count()), "row_key", "left_semi")
-    again, _ = common.write_shared(spark, best_fit(again, models).groupBy("row_key").agg(F.max("best_mean").alias("best_mean")), "again")
+    again, _ = common.write_shared(spark, (best_fit(again, models) if models is not None else best_fit_by_join(again, tables, known)).groupBy("row_key").agg(F.max("best_mean").alias("best_mean")), "again")
+    tables.drop()
     rows = rows.join(common.broadcast_if(again, again.count()), "row_key", "left")
     low = F.coalesce(F.greatest("mean_log_p", "best_mean"), "mean_log_p")
     inside = F.coalesce((low >= F.col("least")) & (F.col("mean_log_p") <= F.col("most")), F.lit(True))

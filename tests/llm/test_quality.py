@@ -127,6 +127,26 @@ def test_mixed_texts_stay_in_the_tight_band(spark):
     assert all(r.kept for i, r in got.items() if i < 400)
 
 
+def test_models_too_large_for_a_broadcast(spark, monkeypatch):
+    """Joins with the model's tables give what the arrays give."""
+    rng = random.Random(11)
+    other = "der die das und nicht ein eine ist von mit sich auf für werden wird über zum haben sein einer".split()
+    say = lambda n: " ".join(rng.choice(other) for _ in range(n))
+    salad = "\n".join("".join(rng.choice("qzxjvkwypbgh ") for _ in range(60)) for _ in range(12))
+    rows = [(i, text(rng, 120), "en") for i in range(60)] + [(200 + i, say(120), "de") for i in range(60)] + [(400, text(rng, 80) + "\n" + say(80), "en"), (402, salad, "en"), (403, None, "en"), (404, salad, None), (0, text(rng, 120), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    show = lambda: sorted(((r.doc_id, r.n_words, r.kept, round(r.mean_log_p or 0, 4), round(r.best_mean or 0, 4)) for r in Q.judge(docs).collect()), key=str)
+    want = show()
+    monkeypatch.setattr(Q, "MODEL_ROWS", 0)
+    assert show() == want and any(x[4] for x in want)
+
+
+def test_no_task_holds_a_language(spark):
+    docs = documents(spark, [(i, text(random.Random(i), 60)) for i in range(20)])
+    plan = Q.Tables(docs, Q.languages(docs)).grams[Q.ORDER]._jdf.queryExecution().toString()
+    assert "InPandas" not in plan
+
+
 def test_every_language_has_a_model_and_a_band(spark):
     rng = random.Random(13)
     names = [f"l{i:02}" for i in range(40)]
