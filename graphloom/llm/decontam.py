@@ -8,7 +8,8 @@ dealt into overlapping bands, each two steps of ``2 * k + 1`` wide and one step
 all of them.  Bands that reach the bound are verified by an alignment that stays within the band.
 
 Items are broadcast in blocks of ``BLOCK_BYTES``, so the broadcast is bounded whatever the benchmark's size;
-every block is met by all rows of all texts.  A text is never cut, and hits are gathered per slice of whole texts.
+every block is met by all rows of all texts, one more scan of them a block.  A text is never cut; shared q-grams are counted per
+slice of whole texts, ``HITS`` pairs of places at a time, so repeated passages on both sides need no more memory.
 
 Defined cases: null and empty texts contain nothing; null items and items under ``Q`` normalised characters
 cannot be told from chance and match nothing; equal items and repeated rows are each reported; other columns are ignored.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, textops
 
@@ -28,6 +29,8 @@ Q = 12
 EDITS = 0.05
 BLOCK_BYTES = 4_000_000
 FILTER_BITS = 22
+#: Pairs of places (of a text and an item) that are held at once.
+HITS = 2_000_000
 
 
 def normalise(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +55,15 @@ def edit_budget(m: int, edits: float = EDITS) -> int:
     return max(0, min(int(edits * m), (m - Q) // Q))
 
 
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Rows sorted by all columns but the last, which is summed over equal ones."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return rows
+    at = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
+    return np.concatenate((rows[at, :3], np.add.reduceat(rows[:, 3], at)[:, None]), axis=1)
+
+
 class Block:
     """The q-grams of some items: a bit table for a first look, and sorted hashes with their places."""
 
@@ -69,18 +81,18 @@ class Block:
             pos.append(np.arange(n))
         h, item, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, item, pos))
         order = np.argsort(h, kind="stable")
-        h, self.item, self.pos = h[order].astype(np.uint64), item[order], pos[order]
+        h, self.item, self.pos = h[order].astype(np.uint64), item[order].astype(np.int32), pos[order].astype(np.int32)
         self.first, self.times = textops.runs(h)
         self.grams = h[self.first]
         self.shift = np.uint64(64 - FILTER_BITS)
         self.table = np.zeros(1 << FILTER_BITS, bool)
         self.table[self.grams >> self.shift] = True
 
-    def hits(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, item and diagonal (within the slice) of every shared q-gram."""
-        none = np.zeros(0, np.int64)
+    def bands(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Rows of ``(row, item, band, shared q-grams)``, sorted; places on both sides are multiplied out ``HITS`` at a time."""
+        none = np.zeros((0, 4), np.int64)
         if len(buf) < Q or not len(self.grams):
-            return none, none, none
+            return none
         at = np.arange(len(buf) - Q + 1)
         h = textops.Hashes(buf).spans(at, at + Q)
         at = np.flatnonzero(self.table[h >> self.shift])
@@ -88,26 +100,29 @@ class Block:
         row = np.searchsorted(offs, at, "right") - 1
         same = (self.grams[g] == h[at]) & (at + Q <= offs[row + 1])
         at, g, row = at[same], g[same], row[same]
+        total = np.cumsum(self.times[g])
+        found, begin = none, 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, "right")))
+            found = _merged(np.concatenate((found, self._part(row[begin:end], g[begin:end], at[begin:end]))))
+            begin = end
+        return found
+
+    def _part(self, row: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = self.times[g]
         place = np.repeat(self.first[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(row, n), self.item[place], np.repeat(at, n) - self.pos[place]
-
-    def regions(self, row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(row, item, band's first diagonal)`` of the bands that share enough q-grams."""
-        step = 2 * self.k[item] + 1
-        band = diagonal // step
-        order = np.lexsort((band, item, row))
-        row, item, band, step = row[order], item[order], band[order], step[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(row)))
-        row, item, band, step = row[first], item[first], band[first], step[first]
+        item = self.item[place].astype(np.int64)
+        diagonal = np.repeat(at, n) - self.pos[place]
+        return _merged(np.stack((np.repeat(row, n), item, diagonal // (2 * self.k[item] + 1), np.ones(len(item), np.int64)), axis=1))
+
+    def regions(self, bands: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(row, item, band's first diagonal)`` of the bands that share enough q-grams with the next one."""
+        row, item, band, n = bands.T
         follows = np.zeros(len(row), bool)
         follows[:-1] = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (band[1:] == band[:-1] + 1)
         count = n + np.where(follows, np.append(n[1:], 0), 0)
         ok = count >= self.bound[item]
-        return list(zip(row[ok].tolist(), item[ok].tolist(), (band[ok] * step[ok]).tolist(), strict=True))
+        return list(zip(row[ok].tolist(), item[ok].tolist(), (band[ok] * (2 * self.k[item[ok]] + 1)).tolist(), strict=True))
 
     def align(self, buf: np.ndarray, begin: int, end: int, item: int, diagonal: int) -> int:
         """The fewest edits that turn the item into a part of ``buf[begin:end]`` within the band, at most ``k + 1``."""
@@ -133,11 +148,11 @@ class Block:
     def find(self, buf: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], int]:
         """``(row, item): edits`` of all items found in a slice."""
         buf, offs = normalise(buf, offs)
-        row, item, diagonal = self.hits(buf, offs)
-        if not len(row):
+        bands = self.bands(buf, offs)
+        if not len(bands):
             return {}
         found: dict[tuple[int, int], int] = {}
-        for r, i, d in self.regions(row, item, diagonal):
+        for r, i, d in self.regions(bands):
             if found.get((r, i), 1):
                 edits = self.align(buf, int(offs[r]), int(offs[r + 1]), i, d)
                 if edits <= self.k[i]:
@@ -161,11 +176,11 @@ def blocks(benchmark: DataFrame, edits: float = EDITS) -> Iterator[Block]:
         yield Block(held, edits)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """``doc_id, item_id, edits``: every item found in every row of ``doc_id, text``."""
+def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, ``item_id, edits``: every item found in every row's ``text``; ids may be of any type."""
     spark = docs.sparkSession
-    kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int"
+    kinds, item_type = dict(docs.dtypes), to_arrow_type(benchmark.schema["item_id"].dataType)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"item_id {dict(benchmark.dtypes)['item_id']}", "edits int"])
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark, edits):
         shared = spark.sparkContext.broadcast(block)
@@ -175,14 +190,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
             block = shared.value
             for batch in batches:
                 rows, items, edits = [], [], []
-                for i, _, buf, offs in textops.slices(batch, "text"):
+                for i, _, buf, offs in textops.slices(batch, "__text"):
                     for (r, x), n in block.find(buf, offs).items():
                         rows.append(i + r)
                         items.append(block.ids[x])
                         edits.append(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "edits"])
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keep))), pa.array(items, item_type), pa.array(edits, pa.int32())], [*keep, "item_id", "edits"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema))
     return out
 
 

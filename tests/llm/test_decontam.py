@@ -43,3 +43,15 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_normalise():
     assert D.normal_bytes("  A,b\n\n#C é!").tobytes().decode() == " a b c é "
+
+
+def test_string_ids_and_periodic_texts(spark, monkeypatch):
+    """Passages that repeat on both sides multiply out in bounded parts, with equal results; ids may be strings."""
+    rng = random.Random(6)
+    item = "abc def ghi jkl " * 40
+    bench = spark.createDataFrame([("p", item), ("q", text(rng, 20)), (None, text(rng, 20))], "item_id string, text string")
+    docs = documents(spark, [(1, "x " + "abc def ghi jkl " * 300), (2, "abc def ghi jkl " * 20), (3, text(rng, 50))])
+    show = lambda: sorted((r.doc_id, r.item_id, r.edits) for r in D.find_items(docs, bench).collect())
+    want = show()
+    monkeypatch.setattr(D, "HITS", 1000)
+    assert show() == want == [(1, "p", 0)]

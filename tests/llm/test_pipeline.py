@@ -50,3 +50,23 @@ def test_empty(spark, tmp_path, corpus):
     documents(spark, [], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path, corpus):
+    """A rejected row takes no other row of its id with it, and of a group exactly one row stays, whatever its ids."""
+    rng = random.Random(21)
+    clean = [(i, text(rng, 120)) for i in range(30)]
+    one, two, three = (text(rng, 150) for _ in range(3))
+    leak = f"{text(rng, 60)} {spark.read.parquet(f'{corpus[0]}/benchmark.parquet').first().text} {text(rng, 60)}"
+    rows = clean + [(50, one), (50, one), (50, two), (50, "short"), (50, leak), (None, three), (None, three), (None, three + " more"), (60, two + " tail"), (None, "short"), (7, clean[7][1])]
+    docs = documents(spark, rows, extra=False)
+    stages = dict(P.STAGES)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    got = left(stages["quality rules"](spark, docs, corpus[0]))
+    assert got == sorted((r for r in rows if r[1] != "short"), key=str)
+    docs = documents(spark, got, extra=False)
+    got = left(stages["near duplicates"](spark, docs, corpus[0]))
+    assert len(got) == len(set(got)) and [r for r in got if r[0] == 50 and r[1] in (one, two)] == sorted([(50, one), (50, two)], key=str)
+    assert sum(r[0] is None for r in got) == 1 and (60, two + " tail") not in got and len(got) == 30 + 4
+    got = left(stages["benchmark decontamination"](spark, documents(spark, got, extra=False), corpus[0]))
+    assert (50, leak) not in got and len(got) == 33
