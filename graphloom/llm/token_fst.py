@@ -10,9 +10,9 @@ needed and kept by the Python worker; their number is bounded, beyond it the com
 
 A text is cut into chunks.  Behind a space that follows a non-space, and behind a character that no longer piece
 holds, the state is the same whatever came before, so a chunk with such a place has a constant state map for
-what follows it.  All chunks run in lockstep from there; a prefix scan over the maps gives
-every chunk's entry state (chunks without such a place compose with their predecessors), from which the
-chunks' heads are run.  Memory is bounded by the slice, not by the corpus.
+what follows it.  The map of any other chunk is kept over its live states, those in which it may be entered.  All chunks
+run in lockstep; a prefix scan by doubling composes the maps and gives every chunk's entry state, from which the
+constant chunks' heads are run.  Memory is bounded by the slice, not by the corpus.
 
 Defined cases: null and empty text have no tokens; repeated rows count the same; other columns are
 dropped; strings of special tokens are ordinary text; no task sees more than a slice at a time.
@@ -286,14 +286,51 @@ class Transducer:
         leave = np.full(len(row), -1, np.int64)
         leave[constant], n = self.run(cls, begin[constant], end[constant], state[constant])
         total[constant] += n
-        # Scan: a chunk's entry is its predecessor's exit; chunks without a constant map compose in turn.
-        while len(todo := np.flatnonzero((leave < 0) & (np.concatenate(([-1], leave[:-1])) >= 0))):
-            leave[todo], n = self.run(cls, start[todo], end[todo], leave[todo - 1])
-            total[todo] += n
+        if not constant.all():
+            self._compose(cls, start, end, constant, leave, total)
         heads = np.flatnonzero(constant & ~first)
         total[heads] += self.run(cls, start[heads], at[heads], leave[heads - 1])[1]
         return np.bincount(row, total, len(sizes)).astype(np.int64)
 
+    def _compose(self, cls: np.ndarray, start: np.ndarray, end: np.ndarray, constant: np.ndarray, leave: np.ndarray, total: np.ndarray) -> None:
+        """Exit states and counts of the chunks without a constant map, into ``leave`` and ``total``.
+
+        Such a chunk's map is kept over its live states: those it may be entered in.  The first one is what a run over the
+        chunk before it, from the start state, ends in (most texts forget their past within a chunk); more come from exits of
+        the maps before.  All chunks apply their new states in one run, then pointer doubling composes the maps, until
+        every chunk's entry is among its live states.
+        """
+        open_ = np.flatnonzero(~constant)
+        known: dict[tuple[int, int], int] = {}  # (chunk, live state) -> point
+        chunk, exit_, count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        after_fixed = constant[open_ - 1]
+        guess = np.where(after_fixed, leave[open_ - 1], -1)
+        far = np.flatnonzero(~after_fixed)
+        guess[far] = self.run(cls, start[open_[far] - 1], end[open_[far] - 1], np.full(len(far), self.start))[0]
+        new = list(zip(open_.tolist(), guess.tolist(), strict=True))
+        while new:
+            for i, x in enumerate(new):
+                known[x] = len(chunk) + i
+            at, s = (np.array(x, np.int64) for x in zip(*new, strict=True))
+            left, n = self.run(cls, start[at], end[at], s)
+            chunk, exit_, count = np.concatenate((chunk, at)), np.concatenate((exit_, left)), np.concatenate((count, n))
+            # Each point's successor: the point of the next chunk that is entered in this point's exit state.
+            follows = [(c + 1, x) for c, x in zip(chunk.tolist(), exit_.tolist(), strict=True)]
+            runs_on = np.append(~constant, False)[chunk + 1] & (np.append(start, -1)[chunk + 1] == end[chunk])
+            new = sorted({f for f, r in zip(follows, runs_on.tolist(), strict=True) if r and f not in known})
+        jump = np.array([known[f] if r else i for i, (f, r) in enumerate(zip(follows, runs_on.tolist(), strict=True))], np.int64)
+        # Prefix scan: which points are reached from the first chunk of a chain, by doubling the steps taken.
+        real = np.zeros(len(chunk), bool)
+        real[[known[x] for x in zip(open_[after_fixed].tolist(), guess[after_fixed].tolist(), strict=True)]] = True
+        while True:
+            reached = real.copy()
+            reached[jump[real]] = True
+            if (reached == real).all():
+                break
+            real, jump = reached, jump[jump]
+        leave[chunk[real]] = exit_[real]
+        total[chunk[real]] += count[real]
+
     def count_slice(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         cps, at = textops.code_points(buf, offs)
         while True:

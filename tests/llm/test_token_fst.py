@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -53,3 +55,18 @@ def test_rows(spark, sp):
     want = [(str(i), len((t or "").encode()), len(sp.encode(t or ""))) for i, t in rows]
     assert got == sorted((*x, x[2] > 100) for x in want)
     assert token_fst.count_tokens(documents(spark, []), PATH).count() == 0
+
+
+def test_long_texts_without_spaces():
+    """Chunks without a resetting place are composed by their state maps, in time about linear in the text."""
+    rng = random.Random(8)
+    fst = token_fst.transducer(PATH)
+    letters = "etaoinshrdlucmfwypvbgk"
+    base = "".join(rng.choice(letters) for _ in range(300_000))
+    texts = [base, "a" * 20_000, "abc" * 9_000 + base[:5_000] + "=" * 9_000, "é".join(base[:50_000].split("e")), " " * 5_000 + base[:2_000], "日本" * 3_000 + base[:3_000], base[:700]]
+    data = [t.encode() for t in texts]
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in data])))
+    began = time.monotonic()
+    got = fst.count_slice(np.frombuffer(b"".join(data), np.uint8), offs).tolist()
+    assert time.monotonic() - began < 60
+    assert got == [len(fst.sp.encode(t)) for t in texts]
