@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from graphloom.llm import tool_link as T
 
@@ -41,5 +44,33 @@ def test_conversations_and_empty(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", None), (2, 2, "assistant", "late"), (3, 0, None, "x")], "conv_id long, turn long, role string, text string")
     rows = T.link_calls(*T.conversation_calls(turns), T.SCHEMAS).collect()
     got = {(r.conv_id, r.turn): (r.kind, r.level, r.status, r.valid) for r in rows}
+    assert got.pop((3, 0)) == ("result", None, "orphan", False)  # no role: read as an answer
     assert got == {(1, 0): ("call", 0, "unanswered", True), (1, 1): ("call", 2, "linked", True), (1, 2): ("result", 3, "linked", True), (2, 0): ("call", 0, "unanswered", False), (2, 2): ("result", None, "orphan", False)}
     assert T.link_calls(*T.conversation_calls(turns.limit(0)), T.SCHEMAS).count() == 0
+
+
+def test_long_chains_and_diamonds(spark):
+    """Levels are longest ways, positions topological; a chain of 300 calls takes few rounds."""
+    rng = random.Random(2)
+    calls = [(1, i, f"a{i}", "stop", "{}", [f"a{i - 1}"] if i else []) for i in range(300)]
+    deps = {}
+    for i in range(60):
+        deps[f"b{i}"] = [f"b{j}" for j in sorted(rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3]))))]
+        calls.append((2, rng.randrange(9), f"b{i}", "stop", "{}", deps[f"b{i}"]))
+    calls += [(3, 0, "x", "stop", "{}", ["x"]), (3, 1, "y", "stop", "{}", ["x", "a0"]), (3, 2, "z", "stop", "{}", ["y"])]
+    rows = link(spark, calls, [(1, 500, "a7", "r"), (1, 0, "a299", "r")])
+    level = {f"a{i}": i for i in range(300)} | {"x": None, "y": None, "z": None}
+    for b, of in deps.items():
+        level[b] = 1 + max((level[x] for x in of), default=-1)
+    assert all(r.level == (None if level[r.call_id] is None else 2 * level[r.call_id] + (r.kind == "result")) for r in rows)
+    for conv in (1, 2, 3):
+        mine = sorted((r for r in rows if r.conv_id == conv), key=lambda r: (r.level is None, r.level, r.turn, r.kind, r.call_id))
+        assert [r.position for r in mine] == list(range(len(mine)))
+
+
+def test_bounds(spark):
+    schemas = {"f": {"s": T.Param("string", True, 2, 4), "n": T.Param("number", False, 0, 1.5)}}
+    args = {'{"s":"ab"}': True, '{"s":"日本語日"}': True, '{"s":"a"}': False, '{"s":"abcde"}': False, '{"s":"abc","n":1.5}': True, '{"s":"abc","n":2}': False, '{"s":"abc","n":-1}': False, '{"n":1}': False}
+    rows = spark.createDataFrame([(a,) for a in args], "a string")
+    got = {r.a: r.ok for r in rows.select("a", T.valid_arguments(F.lit("f"), F.col("a"), schemas).alias("ok")).collect()}
+    assert got == args
