@@ -6,8 +6,9 @@ wins.  Raising one child's weight can only make that child win more keys, so mov
 within the subtree whose weight changed; a shard that opens a region of its own takes rows only
 into itself, which is the ``key`` law.
 
-Slots: rows of a shard are dealt by a hash of the key into buckets of bounded size, numbered
-inside their bucket, and moved up by the count of the buckets before; no task holds a whole shard.
+Slots: rows alike in id, size and text checksum are one group, counted before the shuffle; the groups of a shard are dealt by a
+hash into buckets of bounded size, given ranges of slots inside their bucket, and moved up by the rows of the buckets
+before; a large group is written in parts.  No task holds a whole shard, or all rows of one id.
 
 Defined cases: null text counts as empty (size 16, crc32 0); a null key hashes as a key of its own;
 repeated rows go to one shard with different slots; an empty table gives no rows; other columns are ignored.
@@ -22,8 +23,10 @@ from pyspark.sql import Window as W
 
 from . import common
 
-#: Rows of one (shard, bucket) that a task numbers at a time.
+#: Groups of one (shard, bucket) that a task numbers at a time.
 BUCKET_ROWS = 50_000
+#: Rows of one group that a task writes at a time.
+PART_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -72,26 +75,28 @@ def place(key: Column, tree: list[Leaf]) -> Column:
 
 def shard(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Put every row into a shard of ``tree``, with its gapless slot there and its shard in ``grown``."""
-    n = docs.count()
-    buckets = max(1, -(-n // (BUCKET_ROWS * len(tree))))
-    k = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-        place(k, tree).alias("shard"), (place(k, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.floor(_uniform(k, F.lit("/bucket")) * buckets).alias("bucket"),
-    )
+    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    # Rows alike in all that is returned are one group, counted before the shuffle.
+    groups, _ = common.write_shared(spark, rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "groups")
+    n, most = groups.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    buckets = max(1, -(-n // (BUCKET_ROWS * len(tree))))
+    k = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    of_bucket = F.concat_ws("/", k, "text_crc32", "size")
+    placed = groups.withColumns({"shard": place(k, tree), "grown_shard": place(k, grown) if grown else F.lit(None).cast("int"), "bucket": F.floor(_uniform(of_bucket, F.lit("/bucket")) * buckets)})
     inside = W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("i", F.row_number().over(inside) - 1)
-    if buckets == 1:
-        slot = F.col("i").cast("long")
-    else:
-        counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")
-        starts = counts.select("shard", "bucket", before.alias("start"))
-        numbered = numbered.join(common.broadcast_if(starts, buckets * len(tree)), ["shard", "bucket"])
-        slot = (F.col("start") + F.col("i")).cast("long")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
+    numbered = placed.withColumn("start", F.sum("n").over(inside) - F.col("n"))
+    if buckets > 1:
+        counts = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
+        before = (F.sum("rows").over(W.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("before")
+        numbered = numbered.join(common.broadcast_if(counts.select("shard", "bucket", before), buckets * len(tree)), ["shard", "bucket"]).withColumn("start", F.col("before") + F.col("start"))
+    if most > PART_ROWS:  # a large group is dealt out in parts, so that no task writes all of its rows
+        first = F.explode(F.expr(f"sequence(0L, n - 1, {PART_ROWS}L)"))
+        numbered = numbered.select("*", first.alias("first")).withColumns({"start": F.col("start") + F.col("first"), "n": F.least(F.col("n") - F.col("first"), F.lit(PART_ROWS))})
+        numbered = numbered.repartition("doc_id", "text_crc32", "first")
+    out = numbered.select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("i")).cast("long").alias("slot"), "grown_shard")
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

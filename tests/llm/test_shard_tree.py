@@ -52,3 +52,15 @@ def test_weights_and_empty(spark):
     n = {r["shard"]: r["count"] for r in S.shard(docs, tree).groupBy("shard").count().collect()}
     assert abs(n[0] - 1500) < 150 and abs(n[1] - 500) < 100 and abs(n[2] - 2000) < 150
     assert S.shard(docs.limit(0), tree).count() == 0
+
+
+def test_one_id_with_many_rows(spark, monkeypatch):
+    """Rows of one id, or of none, are spread over buckets and parts; slots stay gapless."""
+    monkeypatch.setattr(S, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(S, "PART_ROWS", 7)
+    rows = [(1, f"text {i % 40}") for i in range(400)] + [(None, "same")] * 100 + [(i, "x") for i in range(50)]
+    got = S.shard(documents(spark, rows), S.topology(4, 2, 1, 2), S.topology(5, 2, 1, 2)).collect()
+    assert sorted(((r.doc_id, r.size) for r in got), key=str) == sorted(((i, len(t) + 16) for i, t in rows), key=str)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1
