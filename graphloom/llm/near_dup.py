@@ -220,7 +220,7 @@ class Run:
 
     def __init__(self, docs: DataFrame, rule: Rule):
         self.spark, self.rule, self.steps = docs.sparkSession, rule, _steps(rule)
-        self.docs, self.scratch = docs.select("doc_id", "text"), []
+        self.docs, self.scratch, self.path = docs.select("doc_id", "text"), [], {}
         self.feats = self.keep(features(self.docs, rule), "features")
         first = F.min(F.struct("doc_id", "t")).alias("r")
         reps = self.feats.where("n > 0").groupBy("cid").agg(first, F.min("doc_id").alias("low"), F.min("n").alias("n"))
@@ -228,8 +228,8 @@ class Run:
         self.reps = self.keep(reps.select("cid", "r.doc_id", "r.t", "low", "n"), "classes")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        out, path = common.write_shared(self.spark, df, name)
-        self.scratch.append(path)
+        out, self.path[name] = common.write_shared(self.spark, df, name)
+        self.scratch.append(self.path[name])
         return out
 
     def some(self, ids: DataFrame) -> tuple[DataFrame, int]:
@@ -363,9 +363,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), keys: bool = False) ->
     grouped = named.join(common.broadcast_if(comp.select(F.col("v").alias("root")).distinct(), comp.count()), "root", "left_semi")
     least = run.keep(grouped.groupBy("root").agg(F.min("low").alias("least")), "least")
     named = named.join(common.broadcast_if(least, least.count()), "root", "left").select("cid", "root", F.coalesce("least", "low").alias("component_id"), F.lit(True).alias("some"))
-    named, _ = common.write_shared(run.spark, named, "named")
-    rows, _ = common.write_shared(run.spark, run.feats.select("doc_id", F.col("n").alias("n_shingles"), "cid", "t"), "rows")
-    common.drop_shared(run.spark, *run.scratch)
+    rows = run.feats.select("doc_id", F.col("n").alias("n_shingles"), "cid", "t")
+    common.drop_shared(run.spark, *(set(run.scratch) - {run.path[x] for x in ("features", "classes", "components", "least")}))
     out = rows.join(named, "cid", "left").withColumn("component_id", F.when(F.col("some"), F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", "kept", *(["cid", "root", "t"] if keys else []))

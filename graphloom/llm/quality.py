@@ -39,8 +39,8 @@ BAND = (8.0, 8.0)
 CORPUS_BAND = (8.0, 40.0)
 SYMBOLS = b"#*$%&|<>"
 HELD_GRAMS = 2_000_000
-#: Grams and contexts of all models up to which they go to the driver and are broadcast (16 bytes each); beyond it texts
-#: meet them in a shuffle.
+#: Grams of all models and orders up to which they go to the driver (32 bytes each) and are broadcast (12 bytes, and 12 a
+#: context); beyond it texts meet them in a shuffle.
 MODEL_ROWS = 8_000_000
 #: 4-grams of a piece at most.
 PIECE = 128
@@ -185,62 +185,72 @@ def _discounts(t: list[int]) -> list[float]:
 
 
 class Tables:
-    """The models of all languages as tables: ``grams[k]`` with ``lang, g, p`` and ``contexts[k]`` with ``lang, c, w``."""
+    """The models of all languages as one table ``k, lang, g, c, p, w``: a gram of order ``k``, its context, its
+    probability and its context's back-off weight."""
 
     def __init__(self, docs: DataFrame, known: list[str]):
         self.spark, self.scratch = docs.sparkSession, []
-        self.grams: dict[int, DataFrame] = {}
-        self.contexts: dict[int, DataFrame] = {}
-        self.rows = 0
-        counts = {ORDER: self.keep(count_grams(docs, known).select("lang", F.col("gram").alias("g"), "n"))}
+        top = self.keep(count_grams(docs, known).select("lang", F.col("gram").alias("g"), "n"))
+        counts = {ORDER: top}
         for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before a gram
-            counts[k] = self.keep(counts[k + 1].groupBy("lang", (F.col("g") % A**k).alias("g")).agg(F.count(F.lit(1)).alias("n")))
+            counts[k] = counts[k + 1].groupBy("lang", (F.col("g") % A**k).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        lower = self.keep(reduce(DataFrame.unionByName, [counts[k].select(F.lit(k).alias("k"), "lang", "g", "n") for k in range(1, ORDER)]))
+        every = lower.unionByName(top.withColumn("k", F.lit(ORDER)))
         found: dict[tuple[int, int], list[int]] = {}
-        few = reduce(DataFrame.unionByName, [c.where("n <= 4").groupBy("lang", "n").agg(F.count(F.lit(1)).alias("t")).withColumn("k", F.lit(k)) for k, c in counts.items()])
-        for r in few.collect():  # four numbers a language and order
+        for r in every.where("n <= 4").groupBy("k", "lang", "n").agg(F.count(F.lit(1)).alias("t")).collect():  # four numbers a language and order
             found.setdefault((r.k, r.lang), [0] * 4)[r.n - 1] = r.t
-        langs = range(len(known) + 1)
+        cuts = [(k, x, *_discounts(found.get((k, x), [0] * 4))) for k in range(1, ORDER + 1) for x in range(len(known) + 1)]
+        cut = self.spark.createDataFrame(cuts, "k int, lang int, d1 double, d2 double, d3 double")
+        rows = every.withColumn("c", F.expr(f"g div {A}")).join(F.broadcast(cut), ["k", "lang"])  # one row a language and order
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        times = [F.sum(F.when(x, 1).otherwise(0)) for x in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
+        gamma = (times[0] * F.first("d1") + times[1] * F.first("d2") + times[2] * F.first("d3")) / F.sum("n")
+        contexts = rows.groupBy("k", "lang", "c").agg(F.sum("n").alias("total"), gamma.alias("w"))
+        share = rows.withColumn("left", F.col("n") - d).join(contexts, ["k", "lang", "c"]).select("k", "lang", "g", "c", (F.col("left") / F.col("total")).alias("mine"), "w")
+        share = self.keep(share)
+        parts, below = [], None
         for k in range(1, ORDER + 1):
-            cut = self.spark.createDataFrame([(x, *_discounts(found.get((k, x), [0] * 4))) for x in langs], "lang int, d1 double, d2 double, d3 double")
-            rows = counts[k].withColumn("c", F.expr(f"g div {A}")).join(F.broadcast(cut), "lang")  # one row a language
-            d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-            times = [F.sum(F.when(x, 1).otherwise(0)) for x in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
-            first = lambda c: F.first(c)
-            gamma = (times[0] * first("d1") + times[1] * first("d2") + times[2] * first("d3")) / F.sum("n")
-            self.contexts[k] = self.keep(rows.groupBy("lang", "c").agg(F.sum("n").alias("total"), gamma.alias("w")))
-            rows = rows.join(self.contexts[k], ["lang", "c"])
-            if k == 1:
-                below = F.lit(1.0 / A)
+            mine = share.where(F.col("k") == k)
+            if below is None:
+                here = mine.withColumn("p", F.col("mine") + F.col("w") * (1.0 / A))
             else:
-                rows = rows.join(self.grams[k - 1].select("lang", F.col("g").alias("s"), F.col("p").alias("below")), (rows["lang"] == self.grams[k - 1]["lang"]) & (rows["g"] % A ** (k - 1) == F.col("s"))).drop(self.grams[k - 1]["lang"])
-                below = F.col("below")
-            self.grams[k] = self.keep(rows.select("lang", "g", ((F.col("n") - d) / F.col("total") + F.col("w") * below).alias("p")))
-            self.rows += self.grams[k].count() + self.contexts[k].count()
+                under = below.select(F.col("lang").alias("l"), F.col("g").alias("s"), F.col("p").alias("under"))
+                here = mine.join(under, (F.col("lang") == F.col("l")) & (F.col("g") % A ** (k - 1) == F.col("s"))).withColumn("p", F.col("mine") + F.col("w") * F.col("under"))
+            below = here.select("k", "lang", "g", "c", "p", "w")
+            parts.append(below)
+        self.table = self.keep(reduce(DataFrame.unionByName, parts))
+        self.rows = self.table.count()
 
     def keep(self, df: DataFrame) -> DataFrame:
         out, path = common.write_shared(self.spark, df, "grams")
         self.scratch.append(path)
         return out
 
+    def grams(self, k: int) -> DataFrame:
+        return self.table.where(F.col("k") == k)
+
     def load(self) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
         """For each language and order from 1: sorted grams, their log-probabilities, sorted contexts, their log back-off weights."""
+        got = self.table.toPandas()  # bounded by MODEL_ROWS
+        col = {x: got[x].to_numpy() for x in ("k", "lang", "g", "c", "p", "w")}
+        order = np.lexsort((col["g"], col["k"], col["lang"]))
+        col = {x: v[order] for x, v in col.items()}
+        first, size = textops.runs(col["lang"].astype(np.int64) * (ORDER + 1) + col["k"])
         out: dict[int, list] = {}
-        for k in range(1, ORDER + 1):
-            g, c = self.grams[k].toPandas(), self.contexts[k].select("lang", "c", "w").toPandas()  # bounded by MODEL_ROWS
-            g, c = g.sort_values(["lang", "g"]), c.sort_values(["lang", "c"])
-            for x in sorted(set(g["lang"])):
-                mine, ctx = g[g["lang"] == x], c[c["lang"] == x]
-                out.setdefault(x, []).append((mine["g"].to_numpy(np.int64), np.log(mine["p"].to_numpy()).astype(np.float32), ctx["c"].to_numpy(np.int64), np.log(np.maximum(ctx["w"].to_numpy(), 1e-12)).astype(np.float32)))
+        for a, n in zip(first.tolist(), size.tolist(), strict=True):
+            g, c, p, w = (col[x][a : a + n] for x in ("g", "c", "p", "w"))
+            at, _ = textops.runs(c)  # grams in order have their contexts in order
+            out.setdefault(int(col["lang"][a]), []).append((g.astype(np.int64), np.log(p).astype(np.float32), c[at].astype(np.int64), np.log(np.maximum(w[at], 1e-12)).astype(np.float32)))
         return out
 
     def scored(self, wanted: DataFrame) -> DataFrame:
         """``lang, g, lp`` of every row of ``lang, g``, by joins: the log-probability, backed off where a gram is not there."""
         rows = wanted.select("lang", "g", F.lit(None).cast("double").alias("lp"), F.lit(0.0).alias("back"))
         for k in range(ORDER, 0, -1):
-            hit = self.grams[k].select(F.col("lang").alias("l"), F.col("g").alias("s"), F.log("p").cast("float").cast("double").alias("hit"))
+            hit = self.grams(k).select(F.col("lang").alias("l"), F.col("g").alias("s"), F.log("p").cast("float").cast("double").alias("hit"))
             rows = rows.join(hit, (F.col("lang") == F.col("l")) & (F.col("g") % A**k == F.col("s")), "left").drop("l", "s")
             rows = rows.withColumn("lp", F.coalesce("lp", F.col("hit") + F.col("back"))).drop("hit")
-            step = self.contexts[k].select(F.col("lang").alias("l"), F.col("c").alias("s"), F.log(F.greatest("w", F.lit(1e-12))).cast("float").cast("double").alias("step"))
+            step = self.grams(k).groupBy(F.col("lang").alias("l"), F.col("c").alias("s")).agg(F.first(F.log(F.greatest("w", F.lit(1e-12))).cast("float").cast("double")).alias("step"))
             rows = rows.join(step, (F.col("lang") == F.col("l")) & (F.expr(f"(g % {A**k}) div {A}") == F.col("s")), "left").drop("l", "s")
             rows = rows.withColumn("back", F.col("back") + F.coalesce("step", F.lit(0.0))).drop("step")
         return rows.select("lang", "g", F.coalesce("lp", F.col("back") - float(np.log(A))).alias("lp"))
@@ -417,7 +427,7 @@ def _row_grams(docs: DataFrame, known: list[str], pieces: bool) -> DataFrame:
 def means_by_join(docs: DataFrame, tables: Tables, known: list[str]) -> DataFrame:
     """``row_key, mean_log_p`` of every row, for models too large for a broadcast: grams meet the model in a shuffle."""
     rows = _row_grams(docs.withColumn("row_key", _row_key(docs)), known, False)
-    p = tables.grams[ORDER].select("lang", "g", F.log("p").cast("float").cast("double").alias("lp"))  # holds every gram of every row
+    p = tables.grams(ORDER).select("lang", "g", F.log("p").cast("float").cast("double").alias("lp"))  # holds every gram of every row
     return rows.join(p, ["lang", "g"]).groupBy("row_key").agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("mean_log_p"))
 
 
@@ -425,7 +435,7 @@ def best_fit_by_join(docs: DataFrame, tables: Tables, known: list[str]) -> DataF
     """As ``best_fit`` without a broadcast: the grams of these few rows are scored in every language."""
     rows = _row_grams(docs.dropDuplicates(["row_key"]), known, True).drop("lang")
     every = F.explode(F.array(*[F.lit(x) for x in range(len(known) + 1)])).alias("lang")
-    trained = tables.contexts[1].select("lang").distinct()  # languages with a model
+    trained = tables.grams(1).select("lang").distinct()  # languages with a model
     wanted = rows.select("g").distinct().select("g", every).join(F.broadcast(trained), "lang", "left_semi")
     fits = rows.join(tables.scored(wanted), "g").groupBy("row_key", "piece", "lang").agg(F.sum(F.col("n") * F.col("lp")).alias("lp"), F.sum("n").alias("n"))
     best = fits.groupBy("row_key", "piece").agg(F.max("lp").alias("lp"), F.max("n").alias("n"))

@@ -143,7 +143,7 @@ def test_models_too_large_for_a_broadcast(spark, monkeypatch):
 
 def test_no_task_holds_a_language(spark):
     docs = documents(spark, [(i, text(random.Random(i), 60)) for i in range(20)])
-    plan = Q.Tables(docs, Q.languages(docs)).grams[Q.ORDER]._jdf.queryExecution().toString()
+    plan = Q.Tables(docs, Q.languages(docs)).table._jdf.queryExecution().toString()
     assert "InPandas" not in plan
 
 
