@@ -39,9 +39,9 @@ BAND = (8.0, 8.0)
 CORPUS_BAND = (8.0, 40.0)
 SYMBOLS = b"#*$%&|<>"
 HELD_GRAMS = 2_000_000
-#: Grams of all models and orders up to which they go to the driver (32 bytes each) and are broadcast (12 bytes, and 12 a
+#: Grams of all models and orders up to which they go to the driver (20 bytes each) and are broadcast (12 bytes, and 12 a
 #: context); beyond it texts meet them in a shuffle.
-MODEL_ROWS = 8_000_000
+MODEL_ROWS = 4_000_000
 #: 4-grams of a piece at most.
 PIECE = 128
 #: Models of which a worker keeps the hash table, and the bits of its slots at most (12 MB each).
@@ -208,17 +208,16 @@ class Tables:
         contexts = rows.groupBy("k", "lang", "c").agg(F.sum("n").alias("total"), gamma.alias("w"))
         share = rows.withColumn("left", F.col("n") - d).join(contexts, ["k", "lang", "c"]).select("k", "lang", "g", "c", (F.col("left") / F.col("total")).alias("mine"), "w")
         share = self.keep(share)
-        parts, below = [], None
-        for k in range(1, ORDER + 1):
+        parts: list[DataFrame] = []
+        for k in range(1, ORDER + 1):  # one small job each; the order below is read from its table
             mine = share.where(F.col("k") == k)
-            if below is None:
+            if not parts:
                 here = mine.withColumn("p", F.col("mine") + F.col("w") * (1.0 / A))
             else:
-                under = below.select(F.col("lang").alias("l"), F.col("g").alias("s"), F.col("p").alias("under"))
+                under = parts[-1].select(F.col("lang").alias("l"), F.col("g").alias("s"), F.col("p").alias("under"))
                 here = mine.join(under, (F.col("lang") == F.col("l")) & (F.col("g") % A ** (k - 1) == F.col("s"))).withColumn("p", F.col("mine") + F.col("w") * F.col("under"))
-            below = here.select("k", "lang", "g", "c", "p", "w")
-            parts.append(below)
-        self.table = self.keep(reduce(DataFrame.unionByName, parts))
+            parts.append(self.keep(here.select("k", "lang", "g", "c", "p", "w")))
+        self.table = self.spark.read.schema(parts[0].schema).parquet(*self.scratch[-ORDER:])
         self.rows = self.table.count()
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -231,16 +230,18 @@ class Tables:
 
     def load(self) -> dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
         """For each language and order from 1: sorted grams, their log-probabilities, sorted contexts, their log back-off weights."""
-        got = self.table.toPandas()  # bounded by MODEL_ROWS
-        col = {x: got[x].to_numpy() for x in ("k", "lang", "g", "c", "p", "w")}
-        order = np.lexsort((col["g"], col["k"], col["lang"]))
-        col = {x: v[order] for x, v in col.items()}
-        first, size = textops.runs(col["lang"].astype(np.int64) * (ORDER + 1) + col["k"])
         out: dict[int, list] = {}
-        for a, n in zip(first.tolist(), size.tolist(), strict=True):
-            g, c, p, w = (col[x][a : a + n] for x in ("g", "c", "p", "w"))
-            at, _ = textops.runs(c)  # grams in order have their contexts in order
-            out.setdefault(int(col["lang"][a]), []).append((g.astype(np.int64), np.log(p).astype(np.float32), c[at].astype(np.int64), np.log(np.maximum(w[at], 1e-12)).astype(np.float32)))
+        for k in range(1, ORDER + 1):
+            log = lambda c: F.log(F.greatest(c, F.lit(1e-12))).cast("float").alias(c)
+            got = self.grams(k).select("lang", "g", log("p"), log("w")).toArrow()  # bounded by MODEL_ROWS
+            lang, g, p, w = (got.column(c).to_numpy() for c in ("lang", "g", "p", "w"))
+            order = np.lexsort((g, lang))
+            first, size = textops.runs(lang[order])
+            for a, n in zip(first.tolist(), size.tolist(), strict=True):
+                mine = order[a : a + n]
+                contexts = g[mine] // A
+                at, _ = textops.runs(contexts)  # grams in order have their contexts in order
+                out.setdefault(int(lang[mine[0]]), []).append((g[mine], p[mine], contexts[at], w[mine][at]))
         return out
 
     def scored(self, wanted: DataFrame) -> DataFrame:
