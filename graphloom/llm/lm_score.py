@@ -2,17 +2,21 @@
 
 Tokens are the lower-cased words of a text.  The most frequent are classes of their own, the others are dealt by
 hash to shared classes.  The network predicts the class of every token from the classes of ``WINDOW`` tokens on either
-side (the sum of one embedding per place, tanh, softmax).  It is trained on all rows: in a round every input partition
-takes the shared weights through its tokens by gradient descent and returns them, weighted by its tokens; Spark sums
-them and the driver has one set of weights.  Within its class a word has its share of the class's occurrences in
+side (the sum of one embedding per place, tanh, softmax).  It is trained on all rows: every distinct text is dealt by
+its hash to one of ``ROUNDS`` rounds and there to a logical shard of about ``SHARD_TOKENS`` tokens.  A shard takes the
+shared weights through its texts in the order of their hashes by gradient descent, a text of ``n`` copies with weight
+``n``; the weights of all shards, by their tokens, are averaged in the order of the shards, ``FAN`` at a time, and the next
+round starts from them.  Within its class a word has its share of the class's occurrences in
 all rows: every word that occurs ``LEAST`` times or more has a number and a share of its own, so the vocabulary
 grows with the input; the rarer words of a class have equal parts of what they occur together.
 A text's score is the sum of the log-probabilities of its words given both sides.
 
-The result depends on how the input is split into partitions (each trains on its own), not on which
-executor runs them or how often.  Defined cases: null and empty texts, and texts without words, have no
-tokens, score 0 and a null mean; a word that no row had counts as one more rare word of its class; places beyond a text's ends hold one boundary token; repeated rows train and
-score like any; an empty table leaves the initial weights; other columns are ignored.
+The weights follow from the rows alone, however they are split or ordered and whichever executor runs a task; scores
+follow from them up to the rounding of 32-bit products.
+
+Defined cases: null and empty texts, and texts without words, have no tokens, score 0 and a null mean; a word that no
+row had counts as one more rare word of its class; places beyond a text's ends hold one boundary token; repeated rows
+train as one text of more weight and score like any; an empty table leaves the initial weights; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -31,7 +35,10 @@ BOUNDARY, VOCABULARY = OWN + SHARED, OWN + SHARED + 1
 HIDDEN = 16
 BATCH = 1024
 RATE = 0.7
-ROUNDS = 1
+ROUNDS = 3
+#: Tokens of all rows to a logical shard of a round; shards averaged by one task.
+SHARD_TOKENS = 500_000
+FAN = 32
 HELD_WORDS = 1_000_000
 #: Occurrences from which a word has a number of its own.
 LEAST = 50
@@ -109,12 +116,13 @@ class Network:
             scores -= scores.max(axis=1, keepdims=True)
         return hidden, scores, np.exp(scores)
 
-    def train(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the mean loss of a batch; ``context``: a row per place."""
+    def train(self, context: np.ndarray, target: np.ndarray, rate: float, weight: np.ndarray | None = None) -> None:
+        """One step of gradient descent on the (weighted) mean loss of a batch; ``context``: a row per place."""
         n = len(target)
+        share = np.full(n, 1 / n, np.float32) if weight is None else (weight / weight.sum()).astype(np.float32)
         hidden, _, wrong = self.forward(context)
-        wrong *= (1 / n) / wrong.sum(axis=1, keepdims=True)
-        wrong[np.arange(n), target] -= np.float32(1 / n)
+        wrong *= (share / wrong.sum(axis=1))[:, None]
+        wrong[np.arange(n), target] -= share
         back = (wrong @ self.out.T) * (1 - hidden * hidden)
         self.out -= rate * (hidden.T @ wrong)
         self.out_bias -= rate * wrong.sum(axis=0)
@@ -173,34 +181,104 @@ def numbered(buf: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple
     return context, token, before
 
 
-def train(docs: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` passes over all rows, averaged over partitions each time."""
-    flat = Network().flat
-    for _ in range(rounds):
+class Course:
+    """One shard's way through its texts: ``BATCH`` tokens a step in the order given, wherever Arrow batches begin."""
+
+    def __init__(self, flat: np.ndarray):
+        self.net, self.seen, self.rest = Network(flat), 0, None
+
+    def take(self, context: np.ndarray, token: np.ndarray, weight: np.ndarray, last: bool = False) -> None:
+        if self.rest is not None:
+            context, token, weight = (np.concatenate(x, axis=-1) for x in zip(self.rest, (context, token, weight), strict=True))
+        end = len(token) if last else len(token) - len(token) % BATCH
+        for i in range(0, end, BATCH):
+            j = min(i + BATCH, end)
+            self.net.train(context[:, i:j], token[i:j], RATE, weight[i:j])
+        self.seen += end
+        self.rest = context[:, end:], token[end:], weight[end:]
+
+    def end(self, shard: int) -> Iterator[pa.RecordBatch]:
+        if self.rest is not None:
+            none = np.zeros(0, np.int64)
+            self.take(np.zeros((2 * WINDOW, 0), np.int64), none, none.astype(np.float64), last=True)
+        if self.seen:
+            yield _weights(shard, self.seen, self.net.flat.astype(np.float64) * self.seen)
+
+
+def _weights(shard: int, seen: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["shard", "n", "w"])
+
+
+WEIGHTS = "shard long, n long, w binary"
+
+
+def dealt(docs: DataFrame, part: int, rounds: int, shards: int) -> DataFrame:
+    """``shard, h, text, n`` of the distinct texts of a round, a shard in one partition and in a fixed order.
+
+    Copies are counted in every Arrow batch before the shuffle, so a text of a third of all rows sends few of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from pa.table([batch.column(0)], ["text"]).group_by("text").aggregate([([], "count_all")]).rename_columns(["text", "n"]).to_batches()
+
+    h = F.xxhash64("text")
+    texts = docs.select("text").where(F.col("text").isNotNull() & (F.pmod(h, F.lit(rounds)) == part)).mapInArrow(run, "text string, n long")
+    texts = texts.withColumn("h", h).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    return texts.repartition(shards, "shard").groupBy("shard", "h", "text").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "h", "text")
+
+
+def averaged(weights: DataFrame, shards: int) -> list:
+    """Sums of at most ``FAN`` groups of shards; every sum is taken in the order of shards, so it is the same each time."""
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        total = np.zeros(Network.SIZE)
+        for w in table.column("w"):
+            total += np.frombuffer(w.as_py(), np.float64)
+        return pa.Table.from_batches([_weights(table.column("shard")[0].as_py() // FAN, sum(table.column("n").to_pylist()), total)])
+
+    while shards > FAN:
+        weights = weights.groupBy(F.floor(F.col("shard") / FAN).alias("g")).applyInArrow(lambda t: add(t.select(["shard", "n", "w"])), WEIGHTS)
+        shards = -(-shards // FAN)
+    return sorted(weights.collect(), key=lambda r: r.shard)  # at most FAN rows of Network.SIZE numbers
+
+
+def train(docs: DataFrame, vocabulary: np.ndarray, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after one pass over all distinct texts in ``rounds`` rounds; ``tokens``: how many the rows have."""
+    flat, shards = Network().flat, max(1, -(-tokens // (rounds * SHARD_TOKENS)))
+    for part in range(rounds):
         given = docs.sparkSession.sparkContext.broadcast((flat, vocabulary))
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             flat, vocabulary = given.value
-            net, seen = Network(flat), 0
+            shard, course = -1, Course(flat)
             for batch in batches:
-                for _, _, buf, offs in textops.slices(batch, "text"):
-                    context, token, _ = numbered(buf, offs, vocabulary)
-                    for i in range(0, len(token), BATCH):
-                        net.train(context[:, i : i + BATCH], token[i : i + BATCH], RATE)
-                    seen += len(token)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(net.SIZE, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(net.SIZE, seen, np.int64))], ["i", "w", "n"])
-
-        rows = docs.select("text").mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()  # Network.SIZE rows
-        if len(rows):
-            flat = np.zeros(Network.SIZE, np.float32)
-            flat[rows["i"].to_numpy()] = rows["w"].to_numpy()
+                of = batch.column(0).to_numpy(zero_copy_only=False)
+                at, size = textops.runs(of)
+                for a, m in zip(at.tolist(), size.tolist(), strict=True):
+                    if of[a] != shard:
+                        yield from course.end(shard)
+                        shard, course = int(of[a]), Course(flat)
+                    rows = batch.slice(a, m)
+                    copies = rows.column(2).to_numpy(zero_copy_only=False)
+                    for i, j, buf, offs in textops.slices(rows, "text"):
+                        context, token, before = numbered(buf, offs, vocabulary)
+                        course.take(context, token, np.repeat(copies[i:j], np.diff(before)).astype(np.float64))
+            yield from course.end(shard)
+
+        rows = averaged(dealt(docs, part, rounds, shards).select("shard", "text", "n").mapInArrow(run, WEIGHTS), shards)
+        given.unpersist()
+        if rows:
+            flat = (sum(np.frombuffer(r.w, np.float64) for r in rows) / sum(r.n for r in rows)).astype(np.float32)
     return flat
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and vocabulary from all rows of ``text``."""
     counts, path = common.write_shared(docs.sparkSession, count_words(docs), "words")
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
     own = np.array([r.word for r in top], np.int64).view(np.uint64)
     own_n = np.array([r.n for r in top], np.int64)
@@ -220,7 +298,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     total = sums[0] + 1  # one more for a word that no row had
     within = np.concatenate((np.log((sums[1] + 1) / total / (sums[2] + 1)), np.log(n / total[(h % np.uint64(SHARED)).astype(np.int64)])))
     own = np.sort(own)
-    return np.concatenate((train(docs, own, rounds), within.astype(np.float32))), np.concatenate((own, h))
+    return np.concatenate((train(docs, own, tokens, rounds), within.astype(np.float32))), np.concatenate((own, h))
 
 
 def score(docs: DataFrame, flat: np.ndarray, vocabulary: np.ndarray) -> DataFrame:
