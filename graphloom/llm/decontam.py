@@ -7,8 +7,11 @@ the item, on diagonals (text position less item position) no further apart than
 dealt into overlapping bands, each two steps of ``2 * k + 1`` wide and one step after the last, so one band holds
 all of them.  Bands that reach the bound are verified by an alignment that stays within the band.
 
-Items are broadcast in blocks of ``BLOCK_BYTES``, so the broadcast is bounded whatever the benchmark's size;
-every block is met by all rows of all texts, one more scan of them a block.  A text is never cut; shared q-grams are counted per
+A benchmark of up to ``BLOCK_BYTES`` is broadcast as one block.  A larger one never passes through the driver: its distinct
+texts are dealt into blocks of that size.  An item with ``k`` edits holds ``k + 1`` disjoint q-grams, its anchors, and one edit
+touches one of them at most, so a text that holds the item holds one of its anchors.  One scan of the documents keeps rows that hold
+an anchor (a Bloom filter of at most ``2 ** BLOOM_BITS`` bits, then an exact join on the hash), and a row meets only
+the blocks whose anchors it holds, dealt into groups of about ``GROUP_BYTES``.  A text is never cut; shared q-grams are counted per
 slice of whole texts, ``HITS`` pairs of places at a time, so repeated passages on both sides need no more memory.
 
 Defined cases: null and empty texts contain nothing; null items and items under ``Q`` normalised characters
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common, textops
@@ -29,6 +33,11 @@ Q = 12
 EDITS = 0.05
 BLOCK_BYTES = 4_000_000
 FILTER_BITS = 22
+#: The most bits, as a power of two, and the probes of the filter of anchors.
+BLOOM_BITS = 29
+PROBES = 3
+#: Bytes of texts that meet a block in one group.
+GROUP_BYTES = 32_000_000
 #: Pairs of places (of a text and an item) that are held at once.
 HITS = 2_000_000
 
@@ -160,20 +169,105 @@ class Block:
         return found
 
 
-def blocks(benchmark: DataFrame, edits: float = EDITS) -> Iterator[Block]:
-    """The items of ``item_id, text`` in blocks of bounded size, read one partition at a time."""
-    held, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        t = normal_bytes(r.text).tobytes().strip()
-        if len(t) < Q:
-            continue
-        held.append((r.item_id, t))
-        size += len(t)
-        if size >= BLOCK_BYTES:
-            yield Block(held, edits)
-            held, size = [], 0
-    if held:
-        yield Block(held, edits)
+def prepared(benchmark: DataFrame) -> DataFrame:
+    """``item_id, t``: the items whose normalised bytes ``t`` are ``Q`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normal_bytes(x).tobytes().strip() if x else None for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["item_id", "t"])
+
+    rows = benchmark.select("item_id", benchmark["text"].alias("__text"))
+    return rows.mapInArrow(run, f"item_id {dict(benchmark.dtypes)['item_id']}, t binary").where(F.octet_length("t") >= Q)
+
+
+def anchors_of(t: np.ndarray, edits: float) -> np.ndarray:
+    """Hashes of ``k + 1`` disjoint q-grams of an item, spread over it: ``k`` edits leave one of them whole."""
+    k = edit_budget(len(t), edits)
+    at = np.arange(k + 1) * ((len(t) - Q) // max(k, 1))
+    return textops.Hashes(t).spans(at, at + Q)
+
+
+def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [textops.mix(h ^ salt) >> np.uint64(64 - bits) for salt in textops.mix(np.arange(1, PROBES + 1, dtype=np.uint64))]
+
+
+class Bloom:
+    """A filter of anchor hashes, bounded in size; its words are made by an aggregation."""
+
+    def __init__(self, anchors: DataFrame):
+        bits = self.bits = min(BLOOM_BITS, max(16, (16 * anchors.count()).bit_length()))
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.concatenate(_probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["w", "b"])
+
+        got = anchors.select("h").mapInArrow(places, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2 ** BLOOM_BITS / 64 rows
+        self.words = np.zeros(1 << bits - 6, np.uint64)
+        self.words[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h), bool)
+        for at in _probes(h, self.bits):
+            ok &= (self.words[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return ok
+
+
+def _by_blocks(docs: DataFrame, items: DataFrame, size: int, edits: float, keep: tuple[str, ...], kinds: dict[str, str]) -> DataFrame:
+    """``keep`` columns, ``key, edits`` of ``items`` (``key, t``, no two alike), which may be of any number."""
+    spark, n = docs.sparkSession, -(-size // BLOCK_BYTES)
+    items, _ = common.write_shared(spark, items.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(n))), "items")
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [anchors_of(np.frombuffer(x.as_buffer(), np.uint8), edits) for x in batch.column(0)]
+            of = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), [len(h) for h in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)), pa.array(of)], ["h", "block"])
+
+    anchors, _ = common.write_shared(spark, items.select("t", "block").mapInArrow(anchored, "h long, block long").distinct(), "anchors")
+    bloom = spark.sparkContext.broadcast(Bloom(anchors))
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.claim("decontam")
+        for batch in batches:
+            for i, j, buf, offs in textops.slices(batch, "__text"):
+                buf, offs = normalise(buf, offs)
+                at = np.arange(max(len(buf) - Q + 1, 0))
+                h = textops.Hashes(buf).spans(at, at + Q)
+                at = np.flatnonzero(bloom.value.holds(h))
+                row = np.searchsorted(offs, at, "right") - 1
+                inside = at + Q <= offs[row + 1]
+                both = np.unique(np.stack((row[inside], h[at[inside]].view(np.int64)), axis=1), axis=0)
+                rows, first = np.unique(both[:, 0], return_index=True)
+                hits = pa.ListArray.from_arrays(pa.array(np.append(first, len(both)).astype(np.int32)), pa.array(both[:, 1]))
+                part = batch.slice(i, j - i).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, hits], [*keep, "__text", "__hits"])
+
+    rows = docs.select(*keep, docs["text"].alias("__text")).mapInArrow(touched, f"{own}, __text string, __hits array<long>")
+    rows, _ = common.write_shared(spark, rows.withColumn("__row", F.monotonically_increasing_id()), "touched")
+    pairs = rows.select("__row", F.octet_length("__text").alias("size"), F.explode("__hits").alias("h")).join(anchors, "h").select("__row", "size", F.col("block").alias("__block")).distinct()
+    pairs, _ = common.write_shared(spark, pairs, "pairs")
+    groups = pairs.groupBy("__block").agg(F.ceil(F.sum("size") / GROUP_BYTES).alias("groups"))
+    groups, _ = common.write_shared(spark, groups.withColumn("groups", F.greatest("groups", F.lit(1))), "groups")
+    groups = common.broadcast_if(groups, n)
+    dealt = pairs.join(groups, "__block").select("__row", "__block", F.pmod(F.xxhash64("__row"), "groups").alias("__group")).join(rows.drop("__hits"), "__row").drop("__row")
+    block = items.join(groups, F.col("block") == F.col("__block")).select("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("__group"), "key", "t")
+
+    def meet(texts: pa.Table, held: pa.Table) -> pa.Table:
+        textops.claim("decontam")
+        block = Block(list(zip(held.column("key").to_pylist(), held.column("t").to_pylist(), strict=True)), edits)
+        parts = []
+        for batch in texts.combine_chunks().to_batches():
+            for i, _, buf, offs in textops.slices(batch, "__text"):
+                found = block.find(buf, offs)
+                at = pa.array([i + r for r, _ in found], pa.int64())
+                parts.append(pa.Table.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array([block.ids[x] for _, x in found], pa.string()), pa.array(list(found.values()), pa.int32())], [*keep, "key", "edits"]))
+        return pa.concat_tables(parts) if parts else pa.table({**{c: texts.column(c).slice(0, 0) for c in keep}, "key": pa.array([], pa.string()), "edits": pa.array([], pa.int32())})
+
+    by = ["__block", "__group"]
+    return dealt.groupBy(*by).cogroup(block.groupBy(*by)).applyInArrow(meet, f"{own}, key string, edits int")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -181,25 +275,31 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, keep
     spark = docs.sparkSession
     kinds, item_type = dict(docs.dtypes), to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"item_id {dict(benchmark.dtypes)['item_id']}", "edits int"])
-    out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, edits):
-        shared = spark.sparkContext.broadcast(block)
+    items, path = common.write_shared(spark, prepared(benchmark), "benchmark")
+    size = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)))).first()[0] or 0
+    if size > BLOCK_BYTES:
+        keyed = items.withColumn("key", F.sha2("t", 256))
+        texts = keyed.select("key", "t").dropDuplicates(["key"])
+        total = texts.agg(F.sum(F.octet_length("t"))).first()[0]
+        return _by_blocks(docs, texts, total, edits, keep, kinds).join(keyed.select("key", "item_id"), "key").select(*keep, "item_id", "edits")
+    held = [(r.item_id, bytes(r.t)) for r in items.collect()]  # bounded by BLOCK_BYTES
+    common.drop_shared(spark, path)
+    shared = spark.sparkContext.broadcast(Block(held, edits))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            textops.claim("decontam")
-            block = shared.value
-            for batch in batches:
-                rows, items, edits = [], [], []
-                for i, _, buf, offs in textops.slices(batch, "__text"):
-                    for (r, x), n in block.find(buf, offs).items():
-                        rows.append(i + r)
-                        items.append(block.ids[x])
-                        edits.append(n)
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keep))), pa.array(items, item_type), pa.array(edits, pa.int32())], [*keep, "item_id", "edits"])
-
-        out = out.unionByName(docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema))
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.claim("decontam")
+        block = shared.value
+        for batch in batches:
+            rows, found_items, n_edits = [], [], []
+            for i, _, buf, offs in textops.slices(batch, "__text"):
+                for (r, x), n in block.find(buf, offs).items():
+                    rows.append(i + r)
+                    found_items.append(block.ids[x])
+                    n_edits.append(n)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keep))), pa.array(found_items, item_type), pa.array(n_edits, pa.int32())], [*keep, "item_id", "edits"])
+
+    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,6 @@ def test_string_ids_and_periodic_texts(spark, monkeypatch):
     want = show()
     monkeypatch.setattr(D, "HITS", 1000)
     assert show() == want == [(1, "p", 0)]
+    monkeypatch.setattr(D, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(D, "GROUP_BYTES", 500)
+    assert show() == want
