@@ -85,7 +85,7 @@ class Block:
         h, item, pos = [], [], []
         for i, t in enumerate(self.text):
             n = len(t) - Q + 1
-            h.append(textops.Hashes(t).spans(np.arange(n), np.arange(n) + Q))
+            h.append(textops.Hashes(t).grams(Q))
             item.append(np.full(n, i))
             pos.append(np.arange(n))
         h, item, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, item, pos))
@@ -102,8 +102,7 @@ class Block:
         none = np.zeros((0, 4), np.int64)
         if len(buf) < Q or not len(self.grams):
             return none
-        at = np.arange(len(buf) - Q + 1)
-        h = textops.Hashes(buf).spans(at, at + Q)
+        h = textops.Hashes(buf).grams(Q)
         at = np.flatnonzero(self.table[h >> self.shift])
         g = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         row = np.searchsorted(offs, at, "right") - 1
@@ -234,8 +233,7 @@ def _by_blocks(docs: DataFrame, items: DataFrame, size: int, edits: float, keep:
         for batch in batches:
             for i, j, buf, offs in textops.slices(batch, "__text"):
                 buf, offs = normalise(buf, offs)
-                at = np.arange(max(len(buf) - Q + 1, 0))
-                h = textops.Hashes(buf).spans(at, at + Q)
+                h = textops.Hashes(buf).grams(Q)
                 at = np.flatnonzero(bloom.value.holds(h))
                 row = np.searchsorted(offs, at, "right") - 1
                 inside = at + Q <= offs[row + 1]

@@ -115,6 +115,15 @@ class Hashes:
             todo, at, left = todo[more], at[more] + 8, left[more] - 8
         return h
 
+    def grams(self, q: int) -> np.ndarray:
+        """``spans`` of ``q`` bytes (fewer than ``LONG_SPAN``) from every place on that has as many, without index arrays."""
+        n = max(len(self.buf) - q + 1, 0)
+        h = np.full(n, mix(np.array([q], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))[0])
+        for i in range(0, q if n else 0, 8):
+            h ^= self.words[i : i + n] & _MASKS[min(q - i, 8)]
+            h = mix(h)
+        return h
+
     def equal_spans(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether the bytes from ``a`` on and from ``b`` on are equal over ``size`` bytes."""
         same = np.ones(len(size), bool)
