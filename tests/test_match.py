@@ -46,14 +46,14 @@ def test_random_graphs(spark, config):
         assert rows(match(view(spark, labels, edges), q, t, config)) == sorted(brute_force(q, labels, edges, t))
 
 
-@pytest.mark.parametrize("strategy", ["bruteforce"])
-def test_enumeration_joins_along_edges(spark, strategy):
+@pytest.mark.parametrize("config", [MatchConfig(strategy="bruteforce"), MatchConfig(strategy="index")], ids=str)
+def test_enumeration_joins_along_edges(spark, config):
     """Candidates of thousands of vertices, whose pairs and triples could not all be made."""
     n = 6000
     labels = {v: "AAB"[v % 3] for v in range(n)}
     edges = {(v, v + 1) for v in range(n - 1)} | {(v, v + 2) for v in range(0, n - 2, 7)}
     g = view(spark, labels, edges)
-    got = match(g, pattern("triangle", "AAB"), 1, MatchConfig(strategy=strategy))
+    got = match(g, pattern("triangle", "AAB"), 1, config)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rows(got) == rows(match(g, pattern("triangle", "AAB"), 1))
