@@ -46,7 +46,7 @@ def test_random_graphs(spark, config):
         assert rows(match(view(spark, labels, edges), q, t, config)) == sorted(brute_force(q, labels, edges, t))
 
 
-@pytest.mark.parametrize("config", [MatchConfig(strategy="bruteforce"), MatchConfig(strategy="index"), VARIANTS["afe_no_af"]], ids=str)
+@pytest.mark.parametrize("config", [MatchConfig(strategy="bruteforce"), MatchConfig(strategy="index"), VARIANTS["afe_no_af"], VARIANTS["s3and_ssm"]], ids=str)
 def test_enumeration_joins_along_edges(spark, config):
     """Candidates of thousands of vertices, whose pairs and triples could not all be made."""
     n = 6000
