@@ -45,12 +45,6 @@ def keeps_connected(mask: Column, q: QueryGraph, threshold: int) -> Column:
     return mask.isin(q.connected_masks(threshold))
 
 
-def missing_column(rows: DataFrame, g: GraphView, q: QueryGraph) -> DataFrame:
-    """Mappings with their ``missing`` count."""
-    out = with_presence(rows, g, q, list(q.edges))
-    return out.select(*[m(u) for u in range(q.size)], missing_of(present_mask(q), q).alias("missing"))
-
-
 def violations(rows: DataFrame, g: GraphView, q: QueryGraph, threshold: int) -> DataFrame:
     """One row of counts: mappings that break totality, labels, injectivity, the budget or connectivity, or repeat."""
     ids = [m(u) for u in range(q.size)]

@@ -4,6 +4,7 @@ import pytest
 
 from graphloom.functions.mappings import violations
 from graphloom.operators import candidates
+from graphloom.plans import lattice
 from graphloom.plans.config import VARIANTS, MatchConfig
 from graphloom.plans.match import match, match_counts
 from graphloom.plans.query import QueryGraph, brute_force, pattern
@@ -59,6 +60,23 @@ def test_enumeration_joins_along_edges(spark, config):
     assert rows(got) == rows(match(g, pattern("triangle", "AAB"), 1))
 
 
+@pytest.mark.parametrize("large", [lattice.LARGE, 0])
+def test_lattice_without_distinct(spark, monkeypatch, large):
+    """Mappings are told apart by the terminals they embed, also where every step counts as large."""
+    monkeypatch.setattr(lattice, "LARGE", large)
+    monkeypatch.setattr(lattice, "TASK_ROWS", 50)
+    rng = random.Random(3)
+    labels = {v: rng.choice("AB") for v in range(9)}
+    edges = {(a, b) for a in labels for b in labels if a < b and rng.random() < 0.6}
+    g = view(spark, labels, edges)
+    for name, kinds, t in (("tailed_triangle", "ABAB", 1), ("diamond", "AABB", 2)):
+        q = pattern(name, kinds)
+        got = match(g, q, t, MatchConfig(strategy="lattice"))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Aggregate" in x and "m0#" in x for x in plan.splitlines())
+        assert rows(got) == sorted(brute_force(q, labels, edges, t))
+
+
 def test_counts_without_expansion(toy):
     q = pattern("tailed_triangle", "ABCD")
     want = {}
