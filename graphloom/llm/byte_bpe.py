@@ -17,6 +17,7 @@ import base64
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -54,11 +55,14 @@ class ByteBpe:
         self.source = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.given, self.pattern, self.careful = pattern, regex.compile(self.source), None
         back = {c: b for b, c in enumerate(chars)}
-        self.of = {r: shown(t) for t, r in ranks.items()}
-        self.bytes = {r: bytes(back[c] for c in self.of[r]) for r in self.of}
-        self.decimal = {r: str(r) for r in self.of}
+        self.bytes = {r: bytes(back[c] for c in shown(t)) for t, r in ranks.items()}
+        self.id = {r: r for r in self.bytes}  # one object per id, which all remembered pieces share
         self.seen: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def decimal(self) -> dict[int, str]:
+        return {r: str(r) for r in self.bytes}
+
     def _careful(self):
         """The pattern with letters and numbers as tiktoken's older Unicode tables have them."""
         if self.careful is None:
@@ -94,7 +98,7 @@ class ByteBpe:
             new = list(set(chain.from_iterable(pieces)))
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            seen.update(zip(part, (tuple(e.ids) for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            seen.update(zip(part, (tuple(map(self.id.__getitem__, e.ids)) for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         return [list(chain.from_iterable(map(seen.__getitem__, p))) for p in pieces]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -119,6 +123,7 @@ def byte_bpe(ranks_path: str, pattern: str) -> ByteBpe:
     textops.claim("byte_bpe")
     if (ranks_path, pattern) not in _made:
         _made[ranks_path, pattern] = ByteBpe(ranks_path, pattern)
+        textops.trim()  # the merges as Python objects
     return _made[ranks_path, pattern]
 
 

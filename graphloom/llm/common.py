@@ -12,6 +12,8 @@ from ..shared import drop_shared, scratch_path, write_shared  # noqa: F401  (ope
 ROOT = Path(__file__).resolve().parents[2]
 #: Rows up to which a narrow side (keys and a few numbers) is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch between the JVM and a Python worker where ``small_batches`` holds; one row may be larger.
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +47,14 @@ def ship(spark: SparkSession) -> None:
 def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side whose row count was measured and lies within the bound; else leave it to a shuffle join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def small_batches(spark: SparkSession) -> str:
+    """Lower the session's bound on Arrow batches, which both sides hold whole, to ``BATCH_BYTES``; returns the bound before.
+
+    It is read when a lazy result runs, so it stays until the caller sets it back.
+    """
+    before = spark.conf.get(BATCH_KEY)
+    if not 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) <= BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return before

@@ -28,15 +28,20 @@ def claim(name: str) -> None:
     for cache in others:
         cache.clear()
     if others:
-        import ctypes
-        import gc
-
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library keeps freed memory its own way
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps freed memory its own way
 
 
 SPACE = np.zeros(256, bool)

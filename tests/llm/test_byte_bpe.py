@@ -50,3 +50,11 @@ def test_rows(spark, tik):
     assert B.round_trip(documents(spark, []), *HOW).count() == 0
     back = B.decode_rows(B.encode_rows(documents(spark, rows), *HOW), *HOW).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in rows)
+
+
+def test_remembered_pieces_share_ids():
+    bpe = B.ByteBpe(*HOW)
+    ids = bpe.encode(["zebra quokka", "zebra\nquokka quokkas"])
+    assert max(map(max, ids)) > 256
+    one = {}
+    assert all(one.setdefault(i, i) is i for piece in bpe.seen.values() for i in piece) and len(bpe.seen) > 3

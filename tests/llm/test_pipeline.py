@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
+from graphloom.llm import common
 from tests.llm.fixtures import documents, text
 
 
@@ -70,3 +72,16 @@ def test_null_and_repeated_ids(spark, tmp_path, corpus):
     assert sum(r[0] is None for r in got) == 1 and (60, two + " tail") not in got and len(got) == 30 + 4
     got = left(stages["benchmark decontamination"](spark, documents(spark, got, extra=False), corpus[0]))
     assert (50, leak) not in got and len(got) == 33
+
+
+def test_arrow_batches_are_small(spark, corpus):
+    """Long texts come to the workers in batches of a few MB, and ``run`` leaves the session as it was."""
+    before = spark.conf.get(common.BATCH_KEY)
+    try:
+        docs = spark.range(0, 900, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefg ', 2000) AS text", "'en' AS lang", "'web' AS source")
+        P.tokens(spark, docs, corpus[0])
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+        got = [r.n for r in sizes.collect()]
+        assert sum(got) > 12 << 20 and max(got) < common.BATCH_BYTES + (1 << 16)
+    finally:
+        spark.conf.set(common.BATCH_KEY, before)
