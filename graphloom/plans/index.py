@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import GraphView
+from ..shared import write_shared
 from .query import QueryGraph
 
 FAN = 16
@@ -23,14 +24,14 @@ def vertex_synopsis(g: GraphView) -> DataFrame:
 
 
 def blocks(synopses: DataFrame, fan: int = FAN) -> DataFrame:
-    """``vid, label, block``: vertices of one label and degree range dealt by a hash, about ``fan`` to a block.
+    """``synopses`` with ``block``: vertices of one label and degree range dealt by a hash, about ``fan`` to a block.
 
     Nothing is sorted or numbered, so a label that most vertices have is spread like any other.
     """
-    level = F.floor(F.log2(F.col("degree") + 1)).cast("long")
-    rows = synopses.select("vid", "label", level.alias("level"))
+    rows = synopses.withColumn("level", F.floor(F.log2(F.col("degree") + 1)).cast("long"))
     sizes = rows.groupBy("label", "level").agg(F.ceil(F.count(F.lit(1)) / fan).alias("n"))
-    return rows.join(sizes, ["label", "level"]).select("vid", "label", (F.col("level") * F.lit(1 << 40) + F.pmod(F.xxhash64("vid"), F.col("n"))).alias("block"))
+    block = F.col("level") * F.lit(1 << 40) + F.pmod(F.xxhash64("vid"), F.col("n"))
+    return rows.join(sizes, ["label", "level"]).withColumn("block", block).drop("level", "n")
 
 
 def roll_up(rows: DataFrame, *by: str) -> DataFrame:
@@ -67,9 +68,9 @@ def may_hold(q: QueryGraph, threshold: int) -> Column:
 
 
 def index_candidates(g: GraphView, q: QueryGraph, threshold: int) -> DataFrame:
-    """``u, vid``: what a descent through two levels of blocks leaves."""
-    leaf = vertex_synopsis(g)
-    placed = leaf.join(blocks(leaf).select("vid", "block"), "vid").withColumn("labels", F.array("label")).withColumn("upper", F.floor(F.col("block") / FAN))
+    """``u, vid``: what a descent through two levels of blocks leaves.  The synopses are made once; every level reads them."""
+    leaf = write_shared(g.vtx.sparkSession, vertex_synopsis(g), "synopses")[0]
+    placed = blocks(leaf).withColumn("labels", F.array("label")).withColumn("upper", F.floor(F.col("block") / FAN))
     low = roll_up(placed, "label", "upper", "block")
     high = roll_up(low, "label", "upper")
     u = g.vtx.sparkSession.range(q.size).select(F.col("id").cast("int").alias("u"))

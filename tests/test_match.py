@@ -4,7 +4,7 @@ import pytest
 
 from graphloom.functions.mappings import violations
 from graphloom.operators import candidates
-from graphloom.plans import lattice
+from graphloom.plans import index, lattice
 from graphloom.plans.config import VARIANTS, MatchConfig
 from graphloom.plans.match import match, match_counts
 from graphloom.plans.query import QueryGraph, brute_force, pattern
@@ -60,6 +60,20 @@ def test_enumeration_joins_along_edges(spark, config):
     assert rows(got) == rows(match(g, pattern("triangle", "AAB"), 1))
 
 
+def test_index_makes_its_synopses_once(spark):
+    """The descent's levels read written synopses; none counts neighbour labels again."""
+    rng = random.Random(8)
+    labels = {v: rng.choice("ABCD") for v in range(120)}
+    edges = {(a, b) for a in labels for b in labels if a < b and rng.random() < 0.02}
+    q = pattern("diamond", "ABCA")
+    got = index.index_candidates(view(spark, labels, edges), q, 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "collect_set(dl" not in plan
+    near = {v: {b if a == v else a for a, b in edges if v in (a, b)} for v in labels}
+    lack = lambda u, v: max(q.degree(u) - len(near[v]), sum(q.labels[w] not in {labels[x] for x in near[v]} for w in q.neighbours(u)))
+    assert sorted(map(tuple, got.collect())) == sorted((u, v) for u, x in enumerate(q.labels) for v in labels if labels[v] == x and lack(u, v) <= 1)
+
+
 @pytest.mark.parametrize("large", [lattice.LARGE, 0])
 def test_lattice_without_distinct(spark, monkeypatch, large):
     """Mappings are told apart by the terminals they embed, also where every step counts as large."""
