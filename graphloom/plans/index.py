@@ -16,11 +16,12 @@ from .query import QueryGraph
 FAN = 16
 
 
-def vertex_synopsis(g: GraphView) -> DataFrame:
-    """``vid, label, nlabels, degree``: own label, sorted distinct neighbour labels, degree."""
-    near = g.typed.groupBy(F.col("src").alias("vid")).agg(F.array_sort(F.collect_set("dl")).alias("nlabels"), F.count(F.lit(1)).alias("degree"))
+def vertex_synopsis(g: GraphView, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """``vid, label, nlabels, degree``: own label, sorted distinct neighbour labels, degree; of all vertices or those of ``labels``."""
+    own = lambda name: F.lit(True) if labels is None else F.col(name).isin(sorted(set(labels)))
+    near = g.typed.where(own("sl")).groupBy(F.col("src").alias("vid")).agg(F.array_sort(F.collect_set("dl")).alias("nlabels"), F.count(F.lit(1)).alias("degree"))
     empty = F.array().cast("array<string>")
-    return g.vtx.join(near, "vid", "left").select("vid", "label", F.coalesce("nlabels", empty).alias("nlabels"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    return g.vtx.where(own("label")).join(near, "vid", "left").select("vid", "label", F.coalesce("nlabels", empty).alias("nlabels"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
 def blocks(synopses: DataFrame, fan: int = FAN) -> DataFrame:
@@ -68,8 +69,11 @@ def may_hold(q: QueryGraph, threshold: int) -> Column:
 
 
 def index_candidates(g: GraphView, q: QueryGraph, threshold: int) -> DataFrame:
-    """``u, vid``: what a descent through two levels of blocks leaves.  The synopses are made once; every level reads them."""
-    leaf = write_shared(g.vtx.sparkSession, vertex_synopsis(g), "synopses")[0]
+    """``u, vid``: what a descent through two levels of blocks leaves.  The synopses are made once; every level reads them.
+
+    A block holds one label, so blocks of labels that the query lacks would never be entered and are not made.
+    """
+    leaf = write_shared(g.vtx.sparkSession, vertex_synopsis(g, q.labels), "synopses")[0]
     placed = blocks(leaf).withColumn("labels", F.array("label")).withColumn("upper", F.floor(F.col("block") / FAN))
     low = roll_up(placed, "label", "upper", "block")
     high = roll_up(low, "label", "upper")

@@ -74,6 +74,21 @@ def test_index_makes_its_synopses_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted((u, v) for u, x in enumerate(q.labels) for v in labels if labels[v] == x and lack(u, v) <= 1)
 
 
+@pytest.mark.parametrize("config", [VARIANTS["s3and_ssm"], MatchConfig(strategy="index")], ids=["s3and_ssm", "index"])
+def test_index_makes_blocks_of_the_query_labels(spark, monkeypatch, config):
+    """Other labels' vertices count as neighbours, but get no synopses of their own."""
+    rng = random.Random(9)
+    labels = {v: rng.choice("ABCDEFGH") for v in range(60)}
+    edges = {(a, b) for a in labels for b in labels if a < b and rng.random() < 0.2}
+    made, write = [], index.write_shared
+    monkeypatch.setattr(index, "write_shared", lambda *a: made.append(write(*a)) or made[-1])
+    q = pattern("triangle", "AAB")
+    assert rows(match(view(spark, labels, edges), q, 1, config)) == sorted(brute_force(q, labels, edges, 1))
+    ((synopses, _),) = made
+    near = {v: {labels[b if a == v else a] for a, b in edges if v in (a, b)} for v in labels}
+    assert {r.vid: set(r.nlabels) for r in synopses.collect()} == {v: near[v] for v in labels if labels[v] in "AB"}
+
+
 @pytest.mark.parametrize("large", [lattice.LARGE, 0])
 def test_lattice_without_distinct(spark, monkeypatch, large):
     """Mappings are told apart by the terminals they embed, also where every step counts as large."""
