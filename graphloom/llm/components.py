@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Bytes that a step handles for a link, which it reads in both directions.
+LINK_BYTES = 128
+
 
 def _stars(links: DataFrame) -> DataFrame:
     """One large-star and one small-star step over ``u, v``."""
@@ -26,11 +29,12 @@ def _stars(links: DataFrame) -> DataFrame:
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """``u, v``: every linked node but each component's least, with that least."""
+    size = LINK_BYTES * links.count()  # a round never has more links than the one before
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    links, path = common.write_shared(spark, links, "links")
+    links, path = common.write_shared(spark, links, "links", size)
     before = None
     while True:
-        after, new = common.write_shared(spark, _stars(links), "links")
+        after, new = common.write_shared(spark, _stars(links), "links", size)
         common.drop_shared(spark, path)
         links, path = after, new
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -42,6 +42,8 @@ HASHES = 640
 MISS = 1e-5
 #: Bytes of signatures, band keys and sets in a block of members.
 BLOCK_BYTES = 2_000_000
+#: Bytes of a row of keys and a few numbers, as steps are dealt out.
+ROW_BYTES = 80
 
 
 @dataclass(frozen=True)
@@ -186,13 +188,13 @@ def pruned(sa: np.ndarray, sb: np.ndarray, x: np.ndarray, y: np.ndarray, steps:
     return alive
 
 
-def _write_small_batches(spark: SparkSession, df: DataFrame, name: str, rows: int = 4) -> tuple[DataFrame, str]:
+def _write_small_batches(spark: SparkSession, df: DataFrame, name: str, rows: int = 4, size: float | None = None) -> tuple[DataFrame, str]:
     """Write with few rows to an Arrow batch, as each holds whole sets or blocks of them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))
     try:
-        return common.write_shared(spark, df, name)
+        return common.write_shared(spark, df, name, size)
     finally:
         spark.conf.set(key, before)
 
@@ -222,29 +224,32 @@ class Run:
         self.spark, self.rule, self.steps = docs.sparkSession, rule, _steps(rule)
         self.docs, self.scratch, self.path = docs.select("doc_id", "text"), [], {}
         self.feats = self.keep(features(self.docs, rule), "features")
+        self.rows, shingles = self.feats.agg(F.count(F.lit(1)), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+        #: Bytes of a row's set, on average.
+        self.set_bytes = 8 * shingles + ROW_BYTES
         first = F.min(F.struct("doc_id", "t")).alias("r")
         reps = self.feats.where("n > 0").groupBy("cid").agg(first, F.min("doc_id").alias("low"), F.min("n").alias("n"))
         #: One row a class: the row that stands for it, and its least id.
-        self.reps = self.keep(reps.select("cid", "r.doc_id", "r.t", "low", "n"), "classes")
+        self.reps = self.keep(reps.select("cid", "r.doc_id", "r.t", "low", "n"), "classes", ROW_BYTES * self.rows)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        out, self.path[name] = common.write_shared(self.spark, df, name)
+    def keep(self, df: DataFrame, name: str, size: float | None = None) -> DataFrame:
+        out, self.path[name] = common.write_shared(self.spark, df, name, size)
         self.scratch.append(self.path[name])
         return out
 
     def some(self, ids: DataFrame) -> tuple[DataFrame, int]:
         """The rows that stand for the classes ``ids``, and how many they are."""
-        out = self.keep(self.reps.join(common.broadcast_if(ids, ids.count()), "cid", "left_semi").select("cid", "doc_id", "t"), "ids")
+        out = self.keep(self.reps.join(common.broadcast_if(ids, ids.count()), "cid", "left_semi").select("cid", "doc_id", "t"), "ids", ROW_BYTES * self.rows)
         return out, out.count()
 
     def values(self, reps: DataFrame, n: int, *columns: str) -> DataFrame:
         return _rows_of(self.feats.select("cid", "doc_id", "t", *columns), reps, n, "cid").dropDuplicates(["cid"]).select("cid", *columns)
 
 
-def verify(run: Run, pairs: DataFrame) -> DataFrame:
-    """The linked ones of candidate pairs ``a, b``."""
+def verify(run: Run, pairs: DataFrame, size: float) -> DataFrame:
+    """The linked ones of candidate pairs ``a, b``, which are made from ``size`` bytes."""
     steps, rule = run.steps, run.rule
-    pairs = run.keep(pairs, "pairs")
+    pairs = run.keep(pairs, "pairs", size)
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,9 +259,12 @@ def verify(run: Run, pairs: DataFrame) -> DataFrame:
             at = pa.array(pruned(va, vb, every, every, steps))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    sigs = run.keep(run.values(*run.some(ends(pairs)), "sig"), "sigs")
-    pairs = run.keep(_pair_up(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(prune, "a binary, b binary"), "pruned")
-    shingled = run.keep(_sets(run.docs, *run.some(ends(pairs)), rule), "sets")
+    reps, n = run.some(ends(pairs))
+    sigs = run.keep(run.values(reps, n, "sig"), "sigs", n * (HASHES + ROW_BYTES))
+    size = 2 * (HASHES + ROW_BYTES) * pairs.count()
+    pairs = run.keep(_pair_up(pairs, sigs, "sig").select("a", "b", "va", "vb").mapInArrow(prune, "a binary, b binary"), "pruned", size)
+    reps, n = run.some(ends(pairs))
+    shingled = run.keep(_sets(run.docs, reps, n, rule), "sets", n * run.set_bytes)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +275,7 @@ def verify(run: Run, pairs: DataFrame) -> DataFrame:
             at = pa.array(linked, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    out, path = _write_small_batches(run.spark, _pair_up(pairs, shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, "a binary, b binary"), "linked", 32)
+    out, path = _write_small_batches(run.spark, _pair_up(pairs, shingled, "s").select("a", "b", "va", "vb").mapInArrow(exact, "a binary, b binary"), "linked", 32, 2 * run.set_bytes * pairs.count())
     run.scratch.append(path)
     return out
 
@@ -285,12 +293,13 @@ def linked_across(run: Run, members: DataFrame) -> DataFrame:
     blocks = grouped.groupBy("key", "g").agg(F.ceil(weight / BLOCK_BYTES).alias("blocks"))
     dealt = grouped.join(blocks.withColumnRenamed("g", "g0").withColumnRenamed("key", "k0"), (F.col("key") == F.col("k0")) & F.col("g").eqNullSafe(F.col("g0")))
     block = F.struct(F.col("g").isNotNull().alias("pure"), F.coalesce("g", F.lit(b"")).alias("g"), F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("sub"))
-    dealt = run.keep(dealt.select("key", block.alias("id"), "cid", "c"), "dealt")
+    dealt = run.keep(dealt.select("key", block.alias("id"), "cid", "c"), "dealt", 2 * ROW_BYTES * members.count())
     reps, n = run.some(dealt.select("cid").distinct())
-    values = run.keep(run.values(reps, n, "sig", "bands").join(_sets(run.docs, reps, n, rule), "cid"), "values")
+    each = run.set_bytes + HASHES + 8 * BANDS
+    values = run.keep(run.values(reps, n, "sig", "bands").join(_sets(run.docs, reps, n, rule), "cid"), "values", n * each)
     # A block is bounded in bytes: its members were dealt by a hash into as many blocks as they need.
     packed = dealt.join(values, "cid").groupBy("key", "id").agg(F.collect_list(F.struct("c", "sig", "bands", "s", "cid")).alias("block"))
-    packed = run.keep(packed, "blocks")
+    packed = run.keep(packed, "blocks", each * dealt.count())
     one, two = (packed.select("key", F.col("id").alias(f"id{k}")) for k in (1, 2))
     differ = (F.col("id1.pure") != F.col("id2.pure")) | (F.col("id1.g") != F.col("id2.g")) | ~F.col("id1.pure")
     both = one.join(two, "key").where((F.col("id1") <= F.col("id2")) & differ).select("key", "id1", "id2")
@@ -335,18 +344,19 @@ def links(run: Run) -> DataFrame:
     only = _rows_of(run.feats.select("cid", "doc_id", "t", "n", "bands"), run.reps, run.reps.count(), "cid")
     members = only.select(F.explode("bands").alias("key"), "cid", "n")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    rest = run.keep(members.join(shared, "key").distinct(), "buckets")
+    rest = run.keep(members.join(shared, "key").distinct(), "buckets", ROW_BYTES * BANDS * run.rows)
+    size = ROW_BYTES * rest.count()
     heads = rest.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("head")).select("key", F.col("head.cid").alias("a"), F.col("head.n").alias("na"))
     fits = (F.col("na") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("na") * 100)
     spokes = rest.join(heads, "key").where((F.col("cid") != F.col("a")) & fits).select("a", F.col("cid").alias("b")).distinct()
-    known = verify(run, spokes)
+    known = verify(run, spokes, size)
     ends = [F.col("a").alias("u"), F.col("b").alias("v")]
     comp = components(spark, known.select(*ends))
     named = rest.join(comp.withColumnRenamed("u", "cid").withColumnRenamed("v", "c"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     # Heads have been compared with all of their bucket.
     named = named.join(heads, "key").where(F.col("cid") != F.col("a")).select("key", "cid", "n", "c")
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    named = run.keep(named.join(mixed, "key"), "open")
+    named = run.keep(named.join(mixed, "key"), "open", size)
     if not named.take(1):
         return comp
     return components(spark, known.unionByName(linked_across(run, named)).select(*ends))
@@ -357,11 +367,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), keys: bool = False) ->
 
     ``root`` names the component (null without shingles) and ``t`` is the row's ``xxhash64("text")``.
     """
-    run = Run(docs, rule)
-    comp = run.keep(links(run), "components")
+    batches = common.small_batches(docs.sparkSession)
+    try:  # what meets Python workers is written here, the lazy result has none
+        run = Run(docs, rule)
+        comp = links(run)
+    finally:
+        docs.sparkSession.conf.set(common.BATCH_KEY, batches)
+    size = ROW_BYTES * run.rows
+    comp = run.keep(comp, "components", size)
     named = run.reps.select("cid", "low").join(comp.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     grouped = named.join(common.broadcast_if(comp.select(F.col("v").alias("root")).distinct(), comp.count()), "root", "left_semi")
-    least = run.keep(grouped.groupBy("root").agg(F.min("low").alias("least")), "least")
+    least = run.keep(grouped.groupBy("root").agg(F.min("low").alias("least")), "least", size)
     named = named.join(common.broadcast_if(least, least.count()), "root", "left").select("cid", "root", F.coalesce("least", "low").alias("component_id"), F.lit(True).alias("some"))
     rows = run.feats.select("doc_id", F.col("n").alias("n_shingles"), "cid", "t")
     common.drop_shared(run.spark, *(set(run.scratch) - {run.path[x] for x in ("features", "classes", "components", "least")}))

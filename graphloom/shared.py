@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 import atexit
+import math
 import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task should have at least, where a caller knows about how many a table takes.
+FILE_BYTES = 16 << 20
 #: Scratch tables that are still there; removed when the driver's Python ends.
 _left: set[str] = set()
 
@@ -30,9 +33,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write_shared(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
+def write_shared(spark: SparkSession, df: DataFrame, name: str, size: float | None = None) -> tuple[DataFrame, str]:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
+
+    ``size``: about how many bytes the last step handles.  Its partitions are then put together into files of
+    ``FILE_BYTES``, one a core at least: every file costs the store several calls, and on a local one processes.
+    """
     path = scratch_path(spark, name)
+    if size is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(size / FILE_BYTES)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

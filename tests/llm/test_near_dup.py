@@ -4,9 +4,10 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from graphloom.llm import common, textops
 from graphloom.llm import near_dup as N
-from graphloom.llm import textops
 from graphloom.llm.components import components
+from graphloom.shared import FILE_BYTES
 from tests.llm.fixtures import WORDS, documents, odd_rows, text
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,6 +115,41 @@ def test_string_ids_in_mixed_buckets(spark):
     assert calls and got == brute(rows, N.Rule(3, 85))
 
 
+def test_scratch_files_follow_size(spark):
+    """However many shuffle partitions there are, a small table is written in no more files than there are cores."""
+    rng = random.Random(14)
+    rows = family(rng, 40, 100) + family(rng, 30, 300) + [(500 + i, text(rng, 70)) for i in range(60)]
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false", common.BATCH_KEY: "64m"}
+    before, files, real = {k: spark.conf.get(k) for k in held}, [], common.write_shared
+
+    def counted(s, df, name, *size):
+        out, path = real(s, df, name, *size)
+        files.append((name, len(out.inputFiles())))
+        return out, path
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        common.write_shared = counted
+        got = N.near_duplicates(documents(spark, rows).coalesce(1), N.Rule(3, 85)).collect()
+        assert spark.conf.get(common.BATCH_KEY) == "64m"
+    finally:
+        common.write_shared = real
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, N.Rule(3, 85))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(files) > 15 and not [f for f in files if f[0] != "across" and f[1] > cores]
+
+
+def test_larger_scratch_tables_have_more_files(spark):
+    many, cores = spark.range(0, 1000, 1, 40), spark.sparkContext.defaultParallelism
+    for size, files in ((0, cores), (30 * FILE_BYTES - 1, 30), (99 * FILE_BYTES, 40), (None, 40)):
+        out, path = common.write_shared(spark, many, "sized", size)
+        assert len(out.inputFiles()) == files and out.count() == 1000
+        common.drop_shared(spark, path)
+
+
 def test_recall_of_bands_and_pruning():
     """All pairs at or above the similarity share a band and pass the looks, on stored bytes; unlike long texts are pruned."""
     rng, rule = random.Random(12), N.Rule(3, 85)
