@@ -47,16 +47,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     _ready(spark)
     found = near_dup.near_duplicates(docs, near_dup.Rule(words=5, percent=80), keys=True).where("root is not null")
-    found, _ = common.write_shared(spark, found.select("doc_id", F.col("t").alias("_t"), "root"), "groups")
+    size = common.ROW_BYTES * docs.count()
+    found, _ = common.write_shared(spark, found.select("doc_id", F.col("t").alias("_t"), "root"), "groups", size)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t")).alias("r")).select("root", "r.doc_id", "r._t")
-    first, _ = common.write_shared(spark, first, "first")
+    first, _ = common.write_shared(spark, first, "first", size)
     marked, of = _marked(docs), ["doc_id", "_t"]
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u"))
     kept = first.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_u"))
     gone = found.select(*of).distinct().join(common.broadcast_if(kept, first.count()), same, "left_anti")
     marked = _join(marked, gone, "left_anti")
     again = found.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*of)
-    again, _ = common.write_shared(spark, again, "again")
+    again, _ = common.write_shared(spark, again, "again", size)
     return _join(marked, again, "left_anti").unionByName(_join(marked, again, "left_semi").dropDuplicates(of)).drop("_t")
 
 

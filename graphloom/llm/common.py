@@ -12,6 +12,8 @@ from ..shared import drop_shared, scratch_path, write_shared  # noqa: F401  (ope
 ROOT = Path(__file__).resolve().parents[2]
 #: Rows up to which a narrow side (keys and a few numbers) is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a row of keys and a few numbers, where ``write_shared`` is told a size.
+ROW_BYTES = 80
 #: Bytes of an Arrow batch between the JVM and a Python worker where ``small_batches`` holds; one row may be larger.
 BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textops
+from .common import ROW_BYTES
 from .components import components
 
 BANDS = 32
@@ -42,8 +43,6 @@ HASHES = 640
 MISS = 1e-5
 #: Bytes of signatures, band keys and sets in a block of members.
 BLOCK_BYTES = 2_000_000
-#: Bytes of a row of keys and a few numbers, as steps are dealt out.
-ROW_BYTES = 80
 
 
 @dataclass(frozen=True)

@@ -191,10 +191,10 @@ class Tables:
     def __init__(self, docs: DataFrame, known: list[str]):
         self.spark, self.scratch = docs.sparkSession, []
         top = self.keep(count_grams(docs, known).select("lang", F.col("gram").alias("g"), "n"))
-        counts = {ORDER: top}
+        counts, most = {ORDER: top}, top.count()  # no lower order has more grams
         for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before a gram
             counts[k] = counts[k + 1].groupBy("lang", (F.col("g") % A**k).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        lower = self.keep(reduce(DataFrame.unionByName, [counts[k].select(F.lit(k).alias("k"), "lang", "g", "n") for k in range(1, ORDER)]))
+        lower = self.keep(reduce(DataFrame.unionByName, [counts[k].select(F.lit(k).alias("k"), "lang", "g", "n") for k in range(1, ORDER)]), ORDER * most)
         every = lower.unionByName(top.withColumn("k", F.lit(ORDER)))
         found: dict[tuple[int, int], list[int]] = {}
         for r in every.where("n <= 4").groupBy("k", "lang", "n").agg(F.count(F.lit(1)).alias("t")).collect():  # four numbers a language and order
@@ -207,7 +207,7 @@ class Tables:
         gamma = (times[0] * F.first("d1") + times[1] * F.first("d2") + times[2] * F.first("d3")) / F.sum("n")
         contexts = rows.groupBy("k", "lang", "c").agg(F.sum("n").alias("total"), gamma.alias("w"))
         share = rows.withColumn("left", F.col("n") - d).join(contexts, ["k", "lang", "c"]).select("k", "lang", "g", "c", (F.col("left") / F.col("total")).alias("mine"), "w")
-        share = self.keep(share)
+        share = self.keep(share, ORDER * most)
         parts: list[DataFrame] = []
         for k in range(1, ORDER + 1):  # one small job each; the order below is read from its table
             mine = share.where(F.col("k") == k)
@@ -216,12 +216,13 @@ class Tables:
             else:
                 under = parts[-1].select(F.col("lang").alias("l"), F.col("g").alias("s"), F.col("p").alias("under"))
                 here = mine.join(under, (F.col("lang") == F.col("l")) & (F.col("g") % A ** (k - 1) == F.col("s"))).withColumn("p", F.col("mine") + F.col("w") * F.col("under"))
-            parts.append(self.keep(here.select("k", "lang", "g", "c", "p", "w")))
+            parts.append(self.keep(here.select("k", "lang", "g", "c", "p", "w"), most))
         self.table = self.spark.read.schema(parts[0].schema).parquet(*self.scratch[-ORDER:])
         self.rows = self.table.count()
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        out, path = common.write_shared(self.spark, df, "grams")
+    def keep(self, df: DataFrame, grams: int | None = None) -> DataFrame:
+        """``grams``: about how many rows ``df`` has."""
+        out, path = common.write_shared(self.spark, df, "grams", None if grams is None else common.ROW_BYTES * grams)
         self.scratch.append(path)
         return out
 
@@ -457,6 +458,7 @@ def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     else:
         measured = measure(docs, models, known)
     measured, _ = common.write_shared(spark, measured, "quality")
+    size = common.ROW_BYTES * measured.count()
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = measured.withColumn("base_failed", base_failed)
     q = F.percentile_approx("mean_log_p", [0.25, 0.5, 0.75], 10_000)
@@ -465,9 +467,9 @@ def judge(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     dev = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.02))
     bands = bands.select("lang_no", (F.col("q")[1] - band[1] * dev).alias("least"), (F.col("q")[1] + band[0] * dev).alias("most"))
     rows = rows.join(F.broadcast(bands), "lang_no", "left")  # one band a language
-    hard, _ = common.write_shared(spark, rows.where("not base_failed and mean_log_p < least").select("row_key").distinct(), "hard")
+    hard, _ = common.write_shared(spark, rows.where("not base_failed and mean_log_p < least").select("row_key").distinct(), "hard", size)
     again = docs.withColumn("row_key", _row_key(docs)).join(common.broadcast_if(hard, hard.count()), "row_key", "left_semi")
-    again, _ = common.write_shared(spark, (best_fit(again, models) if models is not None else best_fit_by_join(again, tables, known)).groupBy("row_key").agg(F.max("best_mean").alias("best_mean")), "again")
+    again, _ = common.write_shared(spark, (best_fit(again, models) if models is not None else best_fit_by_join(again, tables, known)).groupBy("row_key").agg(F.max("best_mean").alias("best_mean")), "again", size)
     tables.drop()
     rows = rows.join(common.broadcast_if(again, again.count()), "row_key", "left")
     low = F.coalesce(F.greatest("mean_log_p", "best_mean"), "mean_log_p")

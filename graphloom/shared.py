@@ -9,7 +9,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that a task should have at least, where a caller knows about how many a table takes.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 #: Scratch tables that are still there; removed when the driver's Python ends.
 _left: set[str] = set()
 

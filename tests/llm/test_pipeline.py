@@ -85,3 +85,31 @@ def test_arrow_batches_are_small(spark, corpus):
         assert sum(got) > 12 << 20 and max(got) < common.BATCH_BYTES + (1 << 16)
     finally:
         spark.conf.set(common.BATCH_KEY, before)
+
+
+def test_scratch_files_follow_size(spark, corpus):
+    """However many shuffle partitions there are, small tables are written in no more files than there are cores."""
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    at, rows = corpus
+    docs = spark.read.parquet(f"{at}/documents.parquet").coalesce(1)
+    before, files, real = {k: spark.conf.get(k) for k in (*held, common.BATCH_KEY)}, {}, common.write_shared
+
+    def counted(s, df, name, *size):
+        out, path = real(s, df, name, *size)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out, path
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        common.write_shared = counted
+        good = P.quality_rules(spark, docs, at).localCheckpoint()
+        got = {r.doc_id for r in P.near_duplicates(spark, good, at).collect()}
+    finally:
+        common.write_shared = real
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(rows) - got == {101, 102, 103, 104, 107}
+    files["grams"].pop(0)  # the counts, of a size not known before
+    cores = spark.sparkContext.defaultParallelism
+    assert len(files["grams"]) > 5 and not {n: f for n, f in files.items() if n in ("grams", "hard", "again", "groups", "first") and max(f) > cores}
